@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointloom.llm import line_dedup, poisson_mix, quality, simhash
+from pointloom.llm import html_text, langid, line_dedup, poisson_mix, quality, simhash, wfst_pieces
 from pointloom.llm._util import read_table
 
 #: The mixture's shares by source: the hot source is cut back, the next ones are raised.
@@ -20,10 +20,24 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(read_table(spark, sf_dir, "pages"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_report(read_table(spark, sf_dir, "documents"))
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return wfst_pieces.encode_texts(docs, wfst_pieces.model_bytes(), keep=["doc_id"])
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_report(read_table(spark, sf_dir, "documents"))
 
@@ -34,7 +48,7 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_simhash, op6_line_dedup, op9_mix)}
+    return {f.__name__: f for f in (op1_quality, op2_html_text, op3_simhash, op4_langid, op5_pieces, op6_line_dedup, op9_mix)}
 
 
 _WEIGHTS_SQL = "CASE source " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in MIX_WEIGHTS.items()) + f" ELSE {MIX_OTHER} END"
