@@ -65,7 +65,9 @@ def op10_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     operators = (op1_quality, op2_html_text, op3_simhash, op4_langid, op5_pieces, op6_line_dedup, op7_chat, op8_pii, op9_mix, op10_forest)
-    return {f.__name__: f for f in operators}
+    import corpus_pipeline  # at the repository's top, it goes with this subpackage
+
+    return {f.__name__: f for f in operators} | {"pipeline": corpus_pipeline.run}
 
 
 _WEIGHTS_SQL = "CASE source " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in MIX_WEIGHTS.items()) + f" ELSE {MIX_OTHER} END"
@@ -73,8 +75,11 @@ _NAMED_SQL = ", ".join(f"'{k}'" for k in MIX_WEIGHTS)
 
 
 def oracle_sql() -> dict[str, str]:
+    import corpus_pipeline
+
+    whole = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
     space = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-    return {
+    return whole | {
         "op6_line_dedup": f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
