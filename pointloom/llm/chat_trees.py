@@ -85,16 +85,15 @@ def reply_paths(nodes: DataFrame, top_k: int = 1) -> DataFrame:
             break
         jumps.append((open_ones.select("conv", "node", "up"), left))
         further = _right(state, n2="node", up2="up", d2="depth", t2="total", tree2="tree")
-        state = cut_lineage(
-            state.join(further, _on("up", "n2"), "left").select(
-                "conv",
-                "node",
-                F.col("up2").alias("up"),
-                (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"),
-                (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"),
-                F.coalesce("tree", "tree2").alias("tree"),
-            )
+        climbed = open_ones.join(further, _on("up", "n2")).select(
+            "conv",
+            "node",
+            F.col("up2").alias("up"),
+            (F.col("depth") + F.col("d2")).alias("depth"),
+            (F.col("total") + F.col("t2")).alias("total"),
+            F.coalesce("tree", "tree2").alias("tree"),
         )
+        state = cut_lineage(state.where("up IS NULL").union(climbed))
     done = state.where("up IS NULL")
     has_reply = _right(at.where("up IS NOT NULL"), n2="up").distinct()
     leaves = done.join(has_reply, _on("node", "n2"), "left_anti")
