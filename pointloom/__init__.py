@@ -1,0 +1 @@
+"""Point-cloud analytics on Spark: clouds are DataFrames of points."""
