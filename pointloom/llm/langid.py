@@ -103,7 +103,8 @@ def fit(docs: DataFrame) -> LanguageModel:
     names = sorted(set(found.column("lang").to_pylist()))
     counts = np.zeros((1 << BUCKET_BITS, len(names)))
     where = {x: k for k, x in enumerate(names)}
-    counts[found.column("bucket").to_numpy(), [where[x] for x in found.column("lang").to_pylist()]] = found.column("n").to_numpy()
+    at = np.array([where[x] for x in found.column("lang").to_pylist()], np.int64)
+    counts[found.column("bucket").to_numpy(), at] = found.column("n").to_numpy()
     p = (counts + SMOOTHING) / (counts.sum(axis=0) + SMOOTHING * (1 << BUCKET_BITS))
     return LanguageModel(names, np.log(p).astype(np.float32))
 
