@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 K = 20
 TREES, BITS = 48, 24
-EFFORT = 0.75
+EFFORT = 1.0
 SHARD_ROWS, QUERY_ROWS = 4096, 8192
 SEED = 20240229
 
