@@ -154,3 +154,12 @@ def max_variance_axis(p: Sequence[Column] | None = None) -> Column:
     """Aggregate: 0, 1 or 2, the axis along which the points vary most."""
     vx, vy, vz = (F.var_pop(c) for c in (p or columns()))
     return F.when((vx >= vy) & (vx >= vz), 0).when(vy >= vz, 1).otherwise(2)
+
+
+def principal_axis(points, p: Sequence[str] = XYZ) -> np.ndarray:
+    """The direction along which a cloud varies most, from one aggregate of its second moments."""
+    row = points.agg(*(F.covar_pop(p[i], p[j]).alias(n) for n, (i, j) in zip(COV, COV_AT, strict=True))).first()
+    full = np.zeros((3, 3))
+    for n, (i, j) in zip(COV, COV_AT, strict=True):
+        full[i, j] = full[j, i] = row[n] or 0.0
+    return np.linalg.eigh(full)[1][:, -1]

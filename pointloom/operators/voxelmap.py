@@ -57,6 +57,24 @@ def flat_voxelmap(points: DataFrame, leaf: float, seq: str = "point_id", cell_po
     return ordered.mapInArrow(_fold(cell_points, sq_spacing), rows.schema.add("slot", "long"))
 
 
+def fold_voxels(points: DataFrame, leaf: float, fold, schema: str, seq: str = "point_id") -> DataFrame:
+    """A map with contents of one's own: ``fold(cell, rows) -> rows`` over the points of each voxel in order of ``seq``.
+
+    ``fold`` gets (vx, vy, vz) and an iterator of dictionaries, and yields dictionaries of ``schema``; a voxel's
+    points pass one task as a sorted stream.
+    """
+    from itertools import groupby
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in batch.to_pylist())
+        found = [out for cell, own in groupby(rows, key=lambda r: (r["vx"], r["vy"], r["vz"])) for out in fold(cell, own)]
+        if found:
+            yield pa.RecordBatch.from_pylist(found)
+
+    rows = with_voxels(points, leaf)
+    return rows.repartition("vx", "vy", "vz").sortWithinPartitions("vx", "vy", "vz", seq).mapInArrow(run, schema)
+
+
 def map_indices(voxels: DataFrame) -> DataFrame:
     """Voxel number (by coordinates) and the global index of each point of a flat map."""
     number = F.dense_rank().over(Window.orderBy("vx", "vy", "vz")) - 1

@@ -80,6 +80,7 @@ ENGINES: dict[str, Callable[..., DataFrame]] = {
     "icp": lambda frames, **how: scan_to_scan(frames, factor="icp", **how),
     "plane_icp": lambda frames, **how: scan_to_scan(frames, factor="plane", **how),
     "vgicp_model": lambda frames, **how: scan_to_model_batch(frames, kind="gaussian", **how),
+    "gicp_last": lambda frames, **how: scan_to_model_batch(frames, kind="last", **how),
     "gicp_model": lambda frames, **how: scan_to_model_batch(frames, kind="flat", **how),
 }
 
@@ -95,8 +96,36 @@ def run(frames: DataFrame, engine: str = "gicp", **how) -> DataFrame:
 # --- metrics ----------------------------------------------------------------------
 
 
-def absolute_error(estimated: DataFrame, truth: DataFrame) -> DataFrame:
-    """Root mean square and standard deviation of the position error by sensor, without alignment."""
+def alignment(estimated: DataFrame, truth: DataFrame) -> np.ndarray:
+    """The rigid pose that brings the estimated positions nearest to the true ones (Umeyama 1991), from one aggregate."""
+    a = estimated.select("sensor_id", "frame_id", *(F.element_at("pose", 4 * i + 4).alias(f"a{i}") for i in range(3)))
+    b = truth.select("sensor_id", "frame_id", *(F.element_at("pose", 4 * i + 4).alias(f"b{i}") for i in range(3)))
+    both = a.join(b, ["sensor_id", "frame_id"])
+    sums = [F.covar_pop(f"b{i}", f"a{j}").alias(f"c{i}{j}") for i in range(3) for j in range(3)]
+    row = both.agg(*sums, *(F.avg(f"{n}{i}").alias(f"m{n}{i}") for n in "ab" for i in range(3))).first()
+    u, _, v = np.linalg.svd(np.array([[row[f"c{i}{j}"] or 0.0 for j in range(3)] for i in range(3)]))
+    out = np.eye(4)
+    out[:3, :3] = u @ np.diag([1.0, 1.0, np.sign(np.linalg.det(u @ v)) or 1.0]) @ v
+    ma, mb = (np.array([row[f"m{n}{i}"] or 0.0 for i in range(3)]) for n in "ab")
+    out[:3, 3] = mb - out[:3, :3] @ ma
+    return out
+
+
+def moved_trajectory(trajectory: DataFrame, t: np.ndarray) -> DataFrame:
+    """Every pose multiplied by ``t`` from the left."""
+    p = [F.element_at("pose", i) for i in range(1, 13)]
+    new = [
+        sum((F.lit(float(t[i, k])) * p[4 * k + j] for k in range(3)), F.lit(float(t[i, 3]) if j == 3 else 0.0))
+        for i in range(3)
+        for j in range(4)
+    ]
+    return trajectory.withColumn("pose", F.array(*new))
+
+
+def absolute_error(estimated: DataFrame, truth: DataFrame, aligned: bool = False) -> DataFrame:
+    """Root mean square and standard deviation of the position error by sensor; after a rigid alignment of all if ``aligned``."""
+    if aligned:
+        estimated = moved_trajectory(estimated, alignment(estimated, truth))
     a = estimated.select("sensor_id", "frame_id", *(F.element_at("pose", 4 * i + 4).alias(f"a{i}") for i in range(3)))
     b = truth.select("sensor_id", "frame_id", *(F.element_at("pose", 4 * i + 4).alias(f"b{i}") for i in range(3)))
     sq = sum(((F.col(f"a{i}") - F.col(f"b{i}")) ** 2 for i in range(3)), F.lit(0.0))
@@ -120,6 +149,28 @@ def relative_error(estimated: DataFrame, truth: DataFrame, step: int = 1) -> Dat
     return e.groupBy("sensor_id").agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.stddev_pop("e").alias("std"), F.count(F.lit(1)).alias("n"))
 
 
+def distance_error(estimated: DataFrame, truth: DataFrame, length: float) -> DataFrame:
+    """The relative error over stretches of at least ``length`` along the true path, each from its first frame."""
+    order = Window.partitionBy("sensor_id").orderBy("frame_id")
+    at = [F.element_at("pose", 4 * i + 4) for i in range(3)]
+    step = F.sqrt(sum(((c - F.lag(c).over(order)) ** 2 for c in at), F.lit(0.0)))
+    path = truth.withColumn("step", F.coalesce(step, F.lit(0.0))).withColumn("way", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ahead = Window.partitionBy("sensor_id").orderBy("way").rangeBetween(length, Window.unboundedFollowing)
+    pairs = path.select("sensor_id", "frame_id", F.min("frame_id").over(ahead).alias("later")).where("later IS NOT NULL")
+
+    def moved(poses: DataFrame, prefix: str) -> DataFrame:
+        a = pairs.join(poses.select("sensor_id", "frame_id", "pose"), ["sensor_id", "frame_id"])
+        b = poses.select("sensor_id", F.col("frame_id").alias("later"), F.col("pose").alias("next"))
+        both = a.join(b, ["sensor_id", "later"])
+        d = [F.element_at("next", 4 * i + 4) - F.element_at("pose", 4 * i + 4) for i in range(3)]
+        own = [sum((F.element_at("pose", 4 * i + j + 1) * d[i] for i in range(3)), F.lit(0.0)) for j in range(3)]
+        return both.select("sensor_id", "frame_id", *(c.alias(f"{prefix}{j}") for j, c in enumerate(own)))
+
+    e = moved(estimated, "a").join(moved(truth, "b"), ["sensor_id", "frame_id"])
+    e = e.withColumn("e", F.sqrt(sum(((F.col(f"a{i}") - F.col(f"b{i}")) ** 2 for i in range(3)), F.lit(0.0))))
+    return e.groupBy("sensor_id").agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.stddev_pop("e").alias("std"), F.count(F.lit(1)).alias("n"))
+
+
 def summarize(values: DataFrame, column: str, order: str) -> DataFrame:
     """mean, std (population), median and the last value by ``order`` of a numeric column."""
     return values.agg(

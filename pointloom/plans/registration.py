@@ -42,12 +42,14 @@ def preprocess(points: DataFrame, leaf: float = 0.25, k: int = 10) -> DataFrame:
 
 
 def correspondences(
-    target: DataFrame, source: DataFrame, t: np.ndarray, factor: str = "gicp", max_distance: float | None = 1.0, reject: Column | None = None, cells: DataFrame | None = None
+    target: DataFrame, source: DataFrame, t: np.ndarray, factor: str | Callable = "gicp", max_distance: float | None = 1.0, reject: Column | None = None, cells: DataFrame | None = None,
+    search: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Pairs of each source point and its nearest target point: ids, sq_dist, p, q and the matrix M.
 
     ``reject`` is a predicate over source_id, target_id, sq_dist and the columns
-    ``s_...`` and ``t_...`` of either cloud; pairs for which it holds go.
+    ``s_...`` and ``t_...`` of either cloud; pairs for which it holds go. ``factor`` may be
+    a function of the pose that gives the six entries of M over those columns.
     """
     require(target, *(NORMAL if factor == "plane" else COV if factor == "gicp" else ()))
     require(source, *(COV if factor == "gicp" else ()))
@@ -57,8 +59,11 @@ def correspondences(
         *(m.alias("w" + c) for m, c in zip(transform_point(t), XYZ, strict=True)),
     )
     distance = sq_dist([F.col("w" + c) for c in XYZ], [F.col("t_" + c) for c in XYZ])
-    if max_distance is None:
-        found = knn(moved.select(F.col("source_id").alias("point_id"), *(F.col("w" + c).alias(c) for c in XYZ)), target, 1)
+    if max_distance is None or search is not None:
+        asked = moved.select(F.col("source_id").alias("point_id"), *(F.col("w" + c).alias(c) for c in XYZ))
+        found = search(asked, target) if search is not None else knn(asked, target, 1)
+        if max_distance is not None:
+            found = found.where(F.col("sq_dist") <= max_distance * max_distance)
         found = found.select(F.col("query_id").alias("source_id"), F.col("point_id").alias("target_id"), "sq_dist")
         right = target.select(F.col("point_id").alias("target_id"), *(F.col(c).alias("t_" + c) for c in target.columns if c != "point_id"))
         pairs = moved.join(found, "source_id").join(right, "target_id")
@@ -75,8 +80,10 @@ def correspondences(
     return _with_matrix(pairs, t, factor)
 
 
-def _with_matrix(pairs: DataFrame, t: np.ndarray, factor: str) -> DataFrame:
-    if factor == "icp":
+def _with_matrix(pairs: DataFrame, t: np.ndarray, factor: str | Callable) -> DataFrame:
+    if callable(factor):  # one's own: the six entries of M from the columns of the pairs and the pose
+        m = factor(t)
+    elif factor == "icp":
         m = [F.lit(1.0 if i == j else 0.0) for i, j in COV_AT]
     elif factor == "plane":  # the squared normal on the diagonal: the error is taken by elements
         m = [F.col("t_" + NORMAL[i]) * F.col("t_" + NORMAL[i]) if i == j else F.lit(0.0) for i, j in COV_AT]
@@ -221,9 +228,13 @@ class _Robust:
 
 @dataclass
 class Registration:
-    """A configured registration; ``align`` runs it."""
+    """A configured registration; ``align`` runs it.
 
-    factor: str = "gicp"
+    ``search`` replaces the nearest-neighbour search: a function of (queries,
+    targets) that returns query_id, point_id and sq_dist.
+    """
+
+    factor: str | Callable = "gicp"
     max_distance: float | None = 1.0
     kernel: str | None = None
     kernel_width: float = 1.0
@@ -232,10 +243,11 @@ class Registration:
     criteria: TerminationCriteria = field(default_factory=TerminationCriteria)
     general: NullFactor = field(default_factory=NullFactor)
     voxel_leaf: float = 1.0
+    search: Callable[[DataFrame, DataFrame], DataFrame] | None = None
 
     def align(self, target: DataFrame, source: DataFrame, init: np.ndarray | None = None) -> RegistrationResult:
         """The pose of ``source`` in ``target``; for vgicp the target is a table of Gaussian voxels."""
-        if self.factor not in FACTORS:
+        if not callable(self.factor) and self.factor not in FACTORS:
             raise ValueError(f"the factor is one of {FACTORS}")
         init = np.eye(4) if init is None else np.asarray(init, float)
         source = source.persist()
@@ -248,12 +260,12 @@ class Registration:
                 return voxel_correspondences(voxels, source, t, self.voxel_leaf, self.max_distance)
         else:
             cells = None
-            if self.max_distance is not None:
+            if self.max_distance is not None and self.search is None:
                 cells = target_cells(target, self.max_distance).repartition(*_CELL).persist()
                 kept.append(cells)
 
             def pairs_at(t):
-                return correspondences(target, source, t, self.factor, self.max_distance, self.reject, cells)
+                return correspondences(target, source, t, self.factor, self.max_distance, self.reject, cells, self.search)
 
         middle = source.agg(*(F.avg(c) for c in XYZ)).first()
         cs = np.array([x or 0.0 for x in middle])

@@ -7,7 +7,9 @@ columns. A feature that was not computed is null or absent, never a made-up valu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 XYZ = ("x", "y", "z")
@@ -49,3 +51,18 @@ def finite(df: DataFrame) -> DataFrame:
 
 def point_at(df: DataFrame, point_id: int) -> DataFrame:
     return df.where(F.col("point_id") == point_id)
+
+
+def from_numpy(spark: SparkSession, points: np.ndarray) -> DataFrame:
+    """A cloud from an array of n x 3 or n x 4 (the fourth column is not a coordinate); ids are row numbers."""
+    points = np.asarray(points, dtype=np.float64)
+    if points.ndim != 2 or points.shape[1] not in (3, 4):
+        raise ValueError("points are an array of n x 3 or n x 4")
+    columns = {"point_id": pa.array(np.arange(len(points)))} | {c: pa.array(np.ascontiguousarray(points[:, i])) for i, c in enumerate(XYZ)}
+    return spark.createDataFrame(pa.table(columns))
+
+
+def to_numpy(points: DataFrame, *names: str) -> np.ndarray:
+    """Columns (x, y, z if none are named) as an array in the order of ids; for clouds that fit the driver."""
+    table = points.select("point_id", *(names or XYZ)).orderBy("point_id").toArrow()
+    return np.stack([table.column(n).to_numpy() for n in (names or XYZ)], axis=1)

@@ -112,20 +112,31 @@ class VoxelMap:
 
 
 class ModelOdometry:
-    """Scan-to-model: each scan is registered against the map of all before it and inserted there."""
+    """Scan-to-model: each scan is registered against the map of all before it and inserted there.
+
+    With ``kind`` "last" it goes against the scan before it instead, from the last
+    relative pose as the first guess.
+    """
 
     def __init__(self, leaf: float = 0.25, voxel: float = 1.0, k: int = 10, kind: str = "gaussian", max_distance: float = 1.0, guess: str = "world", horizon: int = LRU_HORIZON, cycle: int = LRU_CYCLE, offsets: int = 1):
         if guess not in ("world", "constant_velocity"):
             raise ValueError("the first guess is the last pose (world) or goes on from it (constant_velocity)")
         self.leaf, self.k, self.max_distance, self.guess = leaf, k, max_distance, guess
-        self.map = VoxelMap(voxel, kind, horizon, cycle, offsets)
+        self.map = None if kind == "last" else VoxelMap(voxel, kind, horizon, cycle, offsets)
+        self.target = None
         self.world, self.last, self.frames = np.eye(4), np.eye(4), 0
 
     def push(self, scan: np.ndarray) -> np.ndarray:
-        from pointloom.plans.local import features, register, voxel_means
+        from pointloom.plans.local import CloudTarget, features, register, voxel_means
 
         points = voxel_means(scan, self.leaf)
-        if len(points):
+        if len(points) and self.map is None:
+            normals, covs = features(points, self.k)
+            if self.target is not None:
+                self.last = register(self.target, points, covs, "gicp", self.last, self.max_distance).T
+                self.world = self.world @ self.last
+            self.target = CloudTarget(points, normals, covs)
+        elif len(points):
             _, covs = features(points, self.k)
             if self.frames:
                 init = self.world @ self.last if self.guess == "constant_velocity" else self.world
@@ -137,7 +148,8 @@ class ModelOdometry:
         return self.world
 
     def dump(self) -> bytes:
-        self.map._flat = None
+        if self.map is not None:
+            self.map._flat = None
         return pickle.dumps(self)
 
     @staticmethod
