@@ -10,7 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Texts are handled in numpy in runs of whole documents of about so many bytes.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
+
+#: Rows in a batch that Spark sends to Python: texts can be long, and a batch is held whole on both sides.
+BATCH_ROWS = 1000
 
 #: The white space that separates words: \x20 and \x09 to \x0D.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
@@ -20,6 +23,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in whose session Arrow batches of texts are bounded from now on.
+
+    The setting is read when a plan runs, which is after the operator has returned,
+    so it stays lowered.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's checkpoint folder and go on from there.
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pointloom.llm._util import batches_of, column
+from pointloom.llm._util import batches_of, column, in_small_batches
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -297,4 +297,4 @@ def extract_text(pages: DataFrame) -> DataFrame:
             )
 
     schema = T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return pages.select("page_id", "url", "html").mapInArrow(run, schema)
+    return in_small_batches(pages).select("page_id", "url", "html").mapInArrow(run, schema)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointloom.llm._util import batches_of, column, runs, utf8
+from pointloom.llm._util import batches_of, column, in_small_batches, runs, utf8
 
 BUCKET_BITS = 15
 SMOOTHING = 0.5
@@ -93,7 +93,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame) -> LanguageModel:
     """Learn from all of ``docs`` (doc_id, text, lang) that are not held out and have a language."""
     found = (
-        docs.where(~is_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+        in_small_batches(docs)
+        .where(~is_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
         .select("lang", "text")
         .mapInArrow(_count, "lang string, bucket long, n long")
         .groupBy("lang", "bucket")
@@ -227,4 +228,4 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
             T.StructField("shares", T.ArrayType(T.DoubleType())),
         ]
     )
-    return docs.select("doc_id", is_held_out().alias("held_out"), "text").mapInArrow(_predict(model), schema)
+    return in_small_batches(docs).select("doc_id", is_held_out().alias("held_out"), "text").mapInArrow(_predict(model), schema)

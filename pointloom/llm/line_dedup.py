@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointloom.llm._util import ASCII_SPACE, batches_of, column, cut_lineage
+from pointloom.llm._util import ASCII_SPACE, batches_of, column, cut_lineage, in_small_batches
 
 MIN_KEY_CHARS = 10
 #: Keys in a shard of the perfect hash, about.
@@ -226,7 +226,7 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def lines_to_drop(docs: DataFrame, min_chars: int = MIN_KEY_CHARS, shard_keys: int = SHARD_KEYS, salts: int = SALTS) -> DataFrame:
     """(doc, h1, h2): the line hashes that each document loses. ``docs`` has doc (long, not null) and text."""
-    lines = cut_lineage(docs.select("doc", "text").mapInArrow(_line_hashes(min_chars), _LINES))
+    lines = cut_lineage(in_small_batches(docs).select("doc", "text").mapInArrow(_line_hashes(min_chars), _LINES))
     repeated = cut_lineage(
         lines.groupBy("h1", "h2")
         .agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first"), F.max("doc").alias("last"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointloom.llm._util import batches_of, column, runs, utf8
+from pointloom.llm._util import batches_of, column, in_small_batches, runs, utf8
 
 BUCKET_BITS = 16
 MAX_LABELLED = 50_000
@@ -251,7 +251,7 @@ def threshold_of(good: np.ndarray, bad: np.ndarray, max_good_lost: float) -> int
 def fit(docs: DataFrame, labels: DataFrame, bits: int = BUCKET_BITS, max_labelled: int = MAX_LABELLED, max_good_lost: float = MAX_GOOD_LOST) -> QualityModel:
     """Count 4-grams over all of ``docs``, and set the threshold from the labelled ones."""
     sample = _labelled(labels, max_labelled)
-    text = docs.select(F.col("doc_id").alias("__label_id"), "text")
+    text = in_small_batches(docs).select(F.col("doc_id").alias("__label_id"), "text")
     rows = (
         text.join(F.broadcast(sample), "__label_id", "left")
         .select("text", "__good")
@@ -312,7 +312,7 @@ def quality_report(docs: DataFrame, model: QualityModel) -> DataFrame:
     counts = [T.StructField(x, T.LongType()) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     flags = [T.StructField(x, T.BooleanType()) for x in ("base_failed", "kept")]
     schema = T.StructType([docs.schema["doc_id"], *counts, *flags, T.StructField("llr", T.DoubleType())])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, model: QualityModel) -> DataFrame:
@@ -322,4 +322,4 @@ def keep_good(docs: DataFrame, model: QualityModel) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(_judge(model, column(batch, "text"))["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_small_batches(docs).mapInArrow(run, docs.schema)

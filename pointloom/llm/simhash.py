@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm._util import batches_of, column, cut_lineage
+from pointloom.llm._util import batches_of, column, cut_lineage, in_small_batches
 from pointloom.llm.graph import connected_components
 
 SEGMENTS, SEGMENT_BITS = 16, 4
@@ -67,7 +67,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def with_fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint's 64 bits as a long."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, f"doc_id {kind}, fp long")
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(_fingerprints, f"doc_id {kind}, fp long")
 
 
 # The grid: 3 bits an axis, since a segment has at most 4 bits set.

@@ -36,12 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pointloom.llm._util import batches_of, column
+from pointloom.llm._util import batches_of, column, in_small_batches
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 META = "▁"
 #: Parts of texts whose shortest path a Python worker keeps.
-MEMORY_PARTS = 1_000_000
+MEMORY_PARTS = 400_000
 
 # Fixed values of the model file format.
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
@@ -76,14 +76,20 @@ def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 class _Memory(dict):
+    """Solved parts in two generations of half the limit each; parts that are met again move to the young one."""
+
     def __init__(self, solve, limit: int):
         super().__init__()
-        self.solve, self.limit = solve, limit
+        self.solve, self.half, self.old = solve, max(1, limit // 2), {}
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) >= self.limit:
+        if len(self) >= self.half:
+            self.old = dict(self)
             self.clear()
-        found = self[part] = self.solve(part)
+        found = self.old.get(part)
+        if found is None:
+            found = self.solve(part)
+        self[part] = found
         return found
 
 
@@ -157,7 +163,7 @@ class PieceTransducer:
 
     def _may_follow(self, a: int, b: int) -> bool:
         x, y = self._label(a), self._label(b)
-        if self.n_follows > 2 * MEMORY_PARTS:
+        if self.n_follows > MEMORY_PARTS:
             self.follows, self.n_follows = {-1: {}}, 0
         self.n_follows += 1
         found = self.follows.setdefault(a, {})[b] = self.merge(x + y) == [x, y]
@@ -261,7 +267,7 @@ def encode_texts(docs: DataFrame, model: bytes, keep: list[str] | None = None) -
         [docs.schema[x] for x in names]
         + [T.StructField("n_pieces", T.LongType()), T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("decodes", T.BooleanType())]
     )
-    return docs.select(*names, "text").mapInArrow(run, schema)
+    return in_small_batches(docs).select(*names, "text").mapInArrow(run, schema)
 
 
 def decode_ids(rows: DataFrame, model: bytes) -> DataFrame:
@@ -275,4 +281,4 @@ def decode_ids(rows: DataFrame, model: bytes) -> DataFrame:
             texts = [machine.decode(x.as_py() or []) for x in column(batch, "piece_ids")]
             yield batches_of({x: column(batch, x) for x in names} | {"text": pa.array(texts, pa.string())})
 
-    return rows.select(*names).mapInArrow(run, T.StructType([rows.schema[x] for x in names] + [T.StructField("text", T.StringType())]))
+    return in_small_batches(rows).select(*names).mapInArrow(run, T.StructType([rows.schema[x] for x in names] + [T.StructField("text", T.StringType())]))
