@@ -10,7 +10,9 @@ that dense, so that an article dealt out over sibling boxes stays whole.
 
 Elements that are boilerplate by their tag, role or class are taken out first:
 menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments. Lists of links inside the article go too.
+comments. A class or id alone doesn't condemn an element that holds a main heading or
+an article (``<div class="has-sidebar">`` around a whole page). Lists of links inside
+the article go too.
 
 Blocks come out in page order. White space inside a block becomes one space,
 character references are decoded, and blocks are joined by a line feed.
@@ -69,51 +71,52 @@ _OUT_WORDS = frozenset(
     "widget widgets skip copyright disclaimer legal".split()
 )
 _OUT_HEADER_WORDS = frozenset("header head masthead".split())
-_NEVER_OUT = frozenset("html body main article".split())
+_NEVER_OUT = frozenset("html body main".split())
 _MIN_PARAGRAPH = 80
 _LINK_SHARE, _LINK_TAGS = 0.7, 3
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "out", "chars", "links", "tags", "link_tags", "density", "first", "last", "in_link", "longest")
+    __slots__ = ("tag", "parent", "children", "out", "chars", "links", "tags", "link_tags", "density", "first", "last", "in_link", "longest", "soft", "core")
 
-    def __init__(self, tag: str, parent: _Node | None, out: bool, first: int):
-        self.tag, self.parent, self.out, self.first, self.last = tag, parent, out, first, first
+    def __init__(self, tag: str, parent: _Node | None, out: bool, soft: bool, first: int):
+        self.tag, self.parent, self.out, self.soft, self.first, self.last = tag, parent, out, soft, first, first
+        self.core = tag in ("h1", "main") or (tag == "article" and not soft)
         self.in_link = tag == "a" or (parent is not None and parent.in_link)
         self.children: list[_Node] = []
         self.chars = self.links = self.tags = self.link_tags = self.longest = 0
         self.density = 0.0
 
 
-def _is_boilerplate(tag: str, attributes: str, parent: _Node) -> bool:
-    if tag in _OUT_TAGS:
-        return True
+def _by_tag(tag: str, parent: _Node) -> bool:
     if tag == "header":
         node = parent
         while node is not None and node.tag not in ("article", "main"):
             node = node.parent
-        if node is None:
-            return True
-    if not attributes or tag in _NEVER_OUT:
-        return False
+        return node is None
+    return tag in _OUT_TAGS
+
+
+def _by_attributes(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is out by its role or because it is hidden, and whether its class or id speaks against it."""
+    out = soft = False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
-        if name == "role" and value.strip().lower() in _OUT_ROLES:
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if name in ("class", "id") and value:
+            out = True
+        elif name == "role":
+            out |= value.strip().lower() in _OUT_ROLES
+        elif name == "style":
+            out |= re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) is not None
+        elif name in ("class", "id") and value:
             words = {w.lower() for w in _CAMEL.findall(value)}
-            if words & _OUT_WORDS or (words & _OUT_HEADER_WORDS and tag in ("div", "section", "table", "td")):
-                return True
-    return False
+            soft |= bool(words & _OUT_WORDS or (words & _OUT_HEADER_WORDS and tag in ("div", "section", "table", "td")))
+    return out, soft
 
 
 def _parse(page: str) -> tuple[_Node, list[_Node], list[tuple[_Node, str | None]]]:
     """The root, all nodes with parents first, and the text in page order; a None text ends a block."""
-    root = _Node("#root", None, False, 0)
+    root = _Node("#root", None, False, False, 0)
     nodes, flow, stack, at = [root], [], [root], 0
 
     def text(a: int, b: int) -> None:
@@ -182,7 +185,8 @@ def _parse(page: str) -> tuple[_Node, list[_Node], list[tuple[_Node, str | None]
         elif tag in ("br", "img", "input", "wbr"):
             if tag == "br" and not parent.out:
                 flow.append((parent, " "))
-        node = _Node(tag, parent, parent.out or _is_boilerplate(tag, m[3], parent), len(flow))
+        out, soft = (False, False) if not m[3] or tag in _NEVER_OUT else _by_attributes(tag, m[3])
+        node = _Node(tag, parent, parent.out or out or _by_tag(tag, parent), soft, len(flow))
         nodes.append(node)
         parent.children.append(node)
         if tag not in _VOID:
@@ -191,6 +195,12 @@ def _parse(page: str) -> tuple[_Node, list[_Node], list[tuple[_Node, str | None]
             flow.append((parent, None))
     close(1)
     root.last = len(flow)
+    if any(x.soft for x in nodes):
+        for x in reversed(nodes[1:]):
+            x.parent.core |= x.core and not x.out
+        for x in nodes[1:]:
+            x.out = x.out or x.parent.out or (x.soft and not x.core)
+        flow = [(x, None if x.out else piece) for x, piece in flow]
     return root, nodes, flow
 
 

@@ -43,6 +43,13 @@ def test_link_list_inside_goes():
     assert main_text(page(f"<article><p>{PARA * 3}</p>{links}<p>End.</p></article>")) == (PARA * 3).strip() + "\nEnd."
 
 
+def test_class_alone_does_not_condemn_the_article():
+    body = f'<div class="site has-sidebar"><div id="post-share"><h1>Title</h1><p>{PARA * 3}</p><div class="related">More of this</div></div></div>'
+    assert main_text(page(body)) == "Title\n" + (PARA * 3).strip()
+    talk = '<div id="comments">' + f'<article class="comment"><p>{PARA * 9}</p></article>' * 3 + "</div>"
+    assert main_text(page(f"<article><h1>Title</h1><p>{PARA}</p></article>", after=talk)) == "Title\n" + PARA.strip()
+
+
 def test_deep_nesting():
     assert main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
