@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.expr import global_index
+from pointloom.operators.checkpoints import cut
 from pointloom.operators.sampling import with_voxels
 from pointloom.schema import COV, XYZ
 
@@ -76,10 +77,19 @@ def fold_voxels(points: DataFrame, leaf: float, fold, schema: str, seq: str = "p
 
 
 def map_indices(voxels: DataFrame) -> DataFrame:
-    """Voxel number (by coordinates) and the global index of each point of a flat map."""
-    number = F.dense_rank().over(Window.orderBy("vx", "vy", "vz")) - 1
-    cells = voxels.select("vx", "vy", "vz").distinct().withColumn("voxel_id", number.cast("long"))
-    return voxels.join(cells, ["vx", "vy", "vz"]).withColumn("global_index", global_index(F.col("voxel_id"), F.col("slot")))
+    """``voxels`` with voxel_id (0, 1, ... in the order of coordinates) and the global index of each point of a flat map.
+
+    Voxels are numbered inside range partitions; only the partitions' sizes meet in one place.
+    """
+    order = ["vx", "vy", "vz"]
+    cells = voxels.select(*order).distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    low = F.monotonically_increasing_id()  # the partition above bit 33, the row in it below
+    cells = cut(cells.withColumn("part", F.shiftright(low, 33)).withColumn("row", low.bitwiseAND(F.lit((1 << 33) - 1))))
+    sizes = cells.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))  # one row a partition
+    numbered = cells.join(F.broadcast(starts), "part").select(*order, (F.col("start") + F.col("row")).alias("voxel_id"))
+    return voxels.join(numbered, order).withColumn("global_index", global_index(F.col("voxel_id"), F.col("slot")))
 
 
 def lru_survivors(frames: DataFrame, leaf: float, horizon: int = LRU_HORIZON, cycle: int = LRU_CYCLE) -> DataFrame:

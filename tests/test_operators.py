@@ -130,6 +130,8 @@ def test_flat_map_is_greedy_in_order(spark):
         got.setdefault((r["vx"], r["vy"], r["vz"]), []).append((r["slot"], r["point_id"]))
     assert {k: [i for _, i in sorted(v)] for k, v in got.items()} == kept
     index = voxelmap.map_indices(voxelmap.flat_voxelmap(frame(spark, p), 1.0)).collect()
+    cells = sorted({(r["vx"], r["vy"], r["vz"]) for r in index})
+    assert {(r["vx"], r["vy"], r["vz"]): r["voxel_id"] for r in index} == {c: k for k, c in enumerate(cells)}
     assert len({r["global_index"] for r in index}) == len(index) and all(r["global_index"] == r["voxel_id"] << 32 | r["slot"] for r in index)
 
 
