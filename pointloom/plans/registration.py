@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.functions.expr import KERNELS, inverse_sym3, sq_dist, transform_cov, transform_point, voxel_coords
+from pointloom.functions.expr import inverse_sym3, sq_dist, transform_cov, transform_point, voxel_coords
 from pointloom.functions.lie import inverse
 from pointloom.operators.features import estimate_normals_covariances
 from pointloom.operators.neighbors import _CELL, _around, knn
@@ -130,37 +130,24 @@ def voxel_correspondences(voxels: DataFrame, source: DataFrame, t: np.ndarray, l
 # --- linear systems ---------------------------------------------------------------
 
 
+_LINSYS = [*(f"h{a}{b}" for a in range(6) for b in range(a, 6)), *(f"b{a}" for a in range(6)), "e", "n_inliers"]
+
+
 def linear_system(pairs: DataFrame, t: np.ndarray, kernel: str | None = None, width: float = 1.0) -> DataFrame:
-    """One row of sums at a pose: h00 .. h55 (upper part), b0 .. b5, e and n_inliers."""
-    moved = transform_point(t, [F.col(c) for c in _P])
-    x, y, z = (F.col(c) for c in _P)
-    zero = F.lit(0.0)
-    skewed = [[zero, -z, y], [z, zero, -x], [-y, x, zero]]
-    named = pairs
-    for i in range(3):
-        named = named.withColumn(f"r{i}", F.col(_Q[i]) - moved[i])
-        for k in range(3):
-            terms = [F.lit(float(t[i, a])) * skewed[a][k] for a in range(3) if a != k]
-            named = named.withColumn(f"j{i}{k}", terms[0] + terms[1]).withColumn(f"j{i}{k + 3}", F.lit(float(-t[i, k])))
-    m = [[F.col(_M[COV_AT.index((min(i, j), max(i, j)))]) for j in range(3)] for i in range(3)]
-
-    def j(i: int, k: int) -> Column:
-        return F.col(f"j{i}{k}")
-
-    for i in range(3):
-        named = named.withColumn(f"mr{i}", m[i][0] * F.col("r0") + m[i][1] * F.col("r1") + m[i][2] * F.col("r2"))
-        for k in range(6):
-            named = named.withColumn(f"mj{i}{k}", m[i][0] * j(0, k) + m[i][1] * j(1, k) + m[i][2] * j(2, k))
-    named = named.withColumn("e", F.lit(0.5) * (F.col("r0") * F.col("mr0") + F.col("r1") * F.col("mr1") + F.col("r2") * F.col("mr2")))
-    w = KERNELS[kernel](F.sqrt("e"), width) if kernel else F.lit(1.0)
-    named = named.withColumn("w", w)
-    sums = []
-    for a in range(6):
-        for b in range(a, 6):
-            sums.append(F.sum(F.col("w") * (j(0, a) * F.col(f"mj0{b}") + j(1, a) * F.col(f"mj1{b}") + j(2, a) * F.col(f"mj2{b}"))).alias(f"h{a}{b}"))
-    for a in range(6):
-        sums.append(F.sum(F.col("w") * (j(0, a) * F.col("mr0") + j(1, a) * F.col("mr1") + j(2, a) * F.col("mr2"))).alias(f"b{a}"))
-    return named.agg(*sums, F.sum(F.col("w") * F.col("e")).alias("e"), F.count(F.lit(1)).alias("n_inliers"))
+    """One row of sums at a pose: h00 .. h55 (upper part), b0 .. b5, e and n_inliers.
+
+    Tasks sum their Arrow batches; the final aggregate adds one row a task. (The same
+    as 29 sums of column expressions makes generated code that is too large to compile.)
+    """
+    weight = (lambda x: WEIGHTS[kernel](x, width)) if kernel else None
+    upper = np.triu_indices(6)
+
+    def sums(p: np.ndarray, q: np.ndarray, m: np.ndarray) -> np.ndarray:
+        h, b, e = direct(p, q, m, t, weight)
+        return np.concatenate([h[upper], b, [e, len(p)]])
+
+    parts = _partial_sums(pairs, _LINSYS, sums)
+    return parts.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in _LINSYS]).withColumn("n_inliers", F.col("n_inliers").cast("long"))
 
 
 def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,19 +160,22 @@ def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return get(_P), get(_Q), full
 
 
-def _sums(pairs: DataFrame, n: int, f: Callable[..., np.ndarray]) -> np.ndarray:
+def _partial_sums(pairs: DataFrame, names: list[str], f: Callable[..., np.ndarray]) -> DataFrame:
     """``f`` of the arrays of each batch, summed; a task gives one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n)
+        total = np.zeros(len(names))
         for batch in batches:
             if batch.num_rows:
                 total += f(*_arrays(batch))
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names=[f"c{i}" for i in range(n)])
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names=names)
+
+    return pairs.select(*_P, *_Q, *_M).mapInArrow(run, ", ".join(f"{n} double" for n in names))
 
-    schema = ", ".join(f"c{i} double" for i in range(n))
-    parts = pairs.select(*_P, *_Q, *_M).mapInArrow(run, schema)
-    row = parts.agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(n)]).first()
+
+def _sums(pairs: DataFrame, n: int, f: Callable[..., np.ndarray]) -> np.ndarray:
+    names = [f"c{i}" for i in range(n)]
+    row = _partial_sums(pairs, names, f).agg(*[F.sum(c).alias(c) for c in names]).first()
     return np.array([x or 0.0 for x in row])
 
 
