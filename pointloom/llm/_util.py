@@ -14,6 +14,7 @@ CHUNK_BYTES = 1 << 19
 
 #: Rows in a batch that Spark sends to Python: texts can be long, and a batch is held whole on both sides.
 BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
 
 #: The white space that separates words: \x20 and \x09 to \x0D.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
@@ -26,12 +27,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def in_small_batches(df: DataFrame) -> DataFrame:
     """``df``, in whose session Arrow batches of texts are bounded from now on.
 
-    The setting is read when a plan runs, which is after the operator has returned,
-    so it stays lowered.
+    The settings are read when a plan runs, which is after the operator has returned,
+    so they stay lowered.
     """
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    conf = df.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        digits = conf.get(key, "").rstrip("b")
+        if not digits.isdigit() or not 0 < int(digits) <= most:
+            conf.set(key, str(most))
     return df
 
 
