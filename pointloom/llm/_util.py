@@ -33,7 +33,7 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     conf = df.sparkSession.conf
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{key}"
-        digits = conf.get(key, "").rstrip("b")
+        digits = (conf.get(key, None) or "").rstrip("b")  # nothing if the session has not set it
         if not digits.isdigit() or not 0 < int(digits) <= most:
             conf.set(key, str(most))
     return df
