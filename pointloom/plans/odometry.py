@@ -155,8 +155,8 @@ def distance_error(estimated: DataFrame, truth: DataFrame, length: float) -> Dat
     at = [F.element_at("pose", 4 * i + 4) for i in range(3)]
     step = F.sqrt(sum(((c - F.lag(c).over(order)) ** 2 for c in at), F.lit(0.0)))
     path = truth.withColumn("step", F.coalesce(step, F.lit(0.0))).withColumn("way", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    ahead = Window.partitionBy("sensor_id").orderBy("way").rangeBetween(length, Window.unboundedFollowing)
-    pairs = path.select("sensor_id", "frame_id", F.min("frame_id").over(ahead).alias("later")).where("later IS NOT NULL")
+    later = f"min(frame_id) OVER (PARTITION BY sensor_id ORDER BY way RANGE BETWEEN {float(length)!r}D FOLLOWING AND UNBOUNDED FOLLOWING)"
+    pairs = path.select("sensor_id", "frame_id", F.expr(later).alias("later")).where("later IS NOT NULL")
 
     def moved(poses: DataFrame, prefix: str) -> DataFrame:
         a = pairs.join(poses.select("sensor_id", "frame_id", "pose"), ["sensor_id", "frame_id"])
