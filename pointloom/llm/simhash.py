@@ -23,7 +23,7 @@ component id is the smallest non-null id reachable.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -118,11 +118,11 @@ def simhash_report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with only the smallest document of each component.
+def keep_one_of_each(docs: DataFrame, find: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
+    """``docs`` with only the smallest document of each component that ``find`` reports.
 
     Rows with the same id are one document and stay or go together; null is such
     an id, larger than all others.
     """
-    stays = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    stays = find(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
