@@ -6,7 +6,9 @@ how many of its tags are links. An element's score is the sum of its children's
 densities, and the subtree with the highest score is the article. The smallest
 density on the path from there to the body is the threshold: an ancestor takes the
 article's place while another of its children with a real paragraph is at least
-that dense, so that an article dealt out over sibling boxes stays whole.
+that dense, so that an article dealt out over sibling boxes stays whole. Then the
+outermost ``article`` around it is taken, or else the ``main``, or else the smallest box that
+holds an h1 as well: headlines and short sections beside the densest box stay.
 
 Elements that are boilerplate by their tag, role or class are taken out first:
 menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
@@ -252,7 +254,24 @@ def _article(nodes: list[_Node], body: _Node) -> _Node:
         if not others and top.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "tr", "tbody", "ul", "ol"):
             break
         top = up
-    return top
+    return _whole(top, nodes, body)
+
+
+def _whole(top: _Node, nodes: list[_Node], body: _Node) -> _Node:
+    """The outermost article around the densest text, or else the main, or else the smallest box that has an h1 too."""
+    around = [top]
+    while around[-1] is not body:
+        around.append(around[-1].parent)
+    for tag, k in (("article", -1), ("main", 0)):
+        if found := [x for x in around if x.tag == tag]:
+            return found[k]
+    titled = set()
+    for x in nodes:
+        if x.tag == "h1" and not x.out and x.chars:
+            while x is not None and x not in titled:
+                titled.add(x)
+                x = x.parent
+    return next((x for x in around if x in titled), top)
 
 
 def _inside(x: _Node, body: _Node) -> bool:

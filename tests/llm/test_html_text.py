@@ -50,6 +50,20 @@ def test_class_alone_does_not_condemn_the_article():
     assert main_text(page(f"<article><h1>Title</h1><p>{PARA}</p></article>", after=talk)) == "Title\n" + PARA.strip()
 
 
+@pytest.mark.parametrize("wrap", ["article", "main", "div"])
+def test_headline_beside_the_body_box(wrap):
+    body = "".join(f"<p>{PARA * 3}{i}</p>" for i in range(5))
+    got = main_text(page(f"<{wrap}><h1>Title</h1><div class=body>{body}</div></{wrap}>"))
+    assert got == "\n".join(["Title", *(f"{PARA * 3}{i}" for i in range(5))])
+
+
+@pytest.mark.parametrize("wrap", ["article", "main"])
+def test_short_section_beside_the_body_box(wrap):
+    body = "".join(f"<p>{PARA * 3}{i}</p>" for i in range(5))
+    got = main_text(page(f"<{wrap}><section>{body}</section><section><p>They meet again in the spring.</p></section></{wrap}>"))
+    assert got == "\n".join([*(f"{PARA * 3}{i}" for i in range(5)), "They meet again in the spring."])
+
+
 def test_deep_nesting():
     assert main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
