@@ -13,8 +13,10 @@ holds an h1 as well: headlines and short sections beside the densest box stay.
 Elements that are boilerplate by their tag, role or class are taken out first:
 menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments. A class or id alone doesn't condemn an element that holds a main heading or
-an article (``<div class="has-sidebar">`` around a whole page). Lists of links inside
-the article go too.
+an article (``<div class="has-sidebar">`` around a whole page). Inside an article or main
+it only supports removal: the element must also have little text per tag, much of it
+in links, or several such elements within, as a list of comments has. Headings, and the ids of
+sections that carry one, are anchors and count for nothing there. Lists of links inside the article go too.
 
 Blocks come out in page order. White space inside a block becomes one space,
 character references are decoded, and blocks are joined by a line feed.
@@ -74,14 +76,17 @@ _OUT_WORDS = frozenset(
 )
 _OUT_HEADER_WORDS = frozenset("header head masthead".split())
 _NEVER_OUT = frozenset("html body main".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _MIN_PARAGRAPH = 80
+#: Inside an article, an element that its class or id speaks against goes if it has fewer characters per tag, this share in links, or so many such elements within.
+_MIN_DENSITY, _LINK_HEAVY, _SEVERAL = 80, 0.5, 2
 _LINK_SHARE, _LINK_TAGS = 0.7, 3
 
 
 class _Node:
     __slots__ = ("tag", "parent", "children", "out", "chars", "links", "tags", "link_tags", "density", "first", "last", "in_link", "longest", "soft", "core")
 
-    def __init__(self, tag: str, parent: _Node | None, out: bool, soft: bool, first: int):
+    def __init__(self, tag: str, parent: _Node | None, out: bool, soft: int, first: int):
         self.tag, self.parent, self.out, self.soft, self.first, self.last = tag, parent, out, soft, first, first
         self.core = tag in ("h1", "main") or (tag == "article" and not soft)
         self.in_link = tag == "a" or (parent is not None and parent.in_link)
@@ -99,9 +104,9 @@ def _by_tag(tag: str, parent: _Node) -> bool:
     return tag in _OUT_TAGS
 
 
-def _by_attributes(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is out by its role or because it is hidden, and whether its class or id speaks against it."""
-    out = soft = False
+def _by_attributes(tag: str, attributes: str) -> tuple[bool, int]:
+    """Whether an element is out by its role or because it is hidden, and whether its class (1) or id (2) speaks against it."""
+    out, soft = False, 0
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
@@ -112,13 +117,14 @@ def _by_attributes(tag: str, attributes: str) -> tuple[bool, bool]:
             out |= re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) is not None
         elif name in ("class", "id") and value:
             words = {w.lower() for w in _CAMEL.findall(value)}
-            soft |= bool(words & _OUT_WORDS or (words & _OUT_HEADER_WORDS and tag in ("div", "section", "table", "td")))
+            if words & _OUT_WORDS or (words & _OUT_HEADER_WORDS and tag in ("div", "section", "table", "td")):
+                soft |= 1 if name == "class" else 2
     return out, soft
 
 
 def _parse(page: str) -> tuple[_Node, list[_Node], list[tuple[_Node, str | None]]]:
     """The root, all nodes with parents first, and the text in page order; a None text ends a block."""
-    root = _Node("#root", None, False, False, 0)
+    root = _Node("#root", None, False, 0, 0)
     nodes, flow, stack, at = [root], [], [root], 0
 
     def text(a: int, b: int) -> None:
@@ -187,7 +193,7 @@ def _parse(page: str) -> tuple[_Node, list[_Node], list[tuple[_Node, str | None]
         elif tag in ("br", "img", "input", "wbr"):
             if tag == "br" and not parent.out:
                 flow.append((parent, " "))
-        out, soft = (False, False) if not m[3] or tag in _NEVER_OUT else _by_attributes(tag, m[3])
+        out, soft = (False, 0) if not m[3] or tag in _NEVER_OUT else _by_attributes(tag, m[3])
         node = _Node(tag, parent, parent.out or out or _by_tag(tag, parent), soft, len(flow))
         nodes.append(node)
         parent.children.append(node)
@@ -200,12 +206,40 @@ def _parse(page: str) -> tuple[_Node, list[_Node], list[tuple[_Node, str | None]
     if any(x.soft for x in nodes):
         for x in reversed(nodes[1:]):
             x.parent.core |= x.core and not x.out
-        for x in nodes[1:]:
-            x.out = x.out or x.parent.out or (x.soft and not x.core)
+        _condemn(nodes, flow)
         flow = [(x, None if x.out else piece) for x, piece in flow]
     return root, nodes, flow
 
 
+def _condemn(nodes: list[_Node], flow: list[tuple[_Node, str | None]]) -> None:
+    """Take out the elements that their class or id speaks against, inside an article or main only if their text does too."""
+    size = {x: [0, 0, 0, 0, False] for x in nodes}  # characters, those in links, tags, condemned elements, headings
+    for x, piece in flow:
+        if piece is not None:
+            n = len("".join(piece.split()))
+            size[x][0] += n
+            size[x][1] += n if x.in_link else 0
+    for x in reversed(nodes[1:]):  # children before parents
+        if not x.out:
+            mine, up = size[x], size[x.parent]
+            if x.tag in _HEADINGS or (x.tag == "section" and mine[4]):
+                x.soft &= 1  # an anchor
+            for i, more in enumerate((mine[0], mine[1], mine[2] + 1, mine[3] + bool(x.soft and x.tag not in _HEADINGS))):
+                up[i] += more
+            up[4] |= mine[4] or x.tag in _HEADINGS
+    inside = {nodes[0]: False}
+    for x in nodes[1:]:
+        within = inside[x.parent]
+        inside[x] = within or x.tag in ("article", "main")
+        if not x.out:
+            chars, links, tags, condemned, _ = size[x]
+            against = bool(x.soft) and not x.core
+            if against and inside[x] and not (x.tag == "article" and within):  # an article in an article is another one
+                thin = chars < _MIN_DENSITY * (tags + 1) or links >= _LINK_HEAVY * chars
+                against = x.tag not in _HEADINGS and (thin or condemned >= _SEVERAL)
+            x.out = x.parent.out or against
+
+
 def _measure(nodes: list[_Node], flow: list[tuple[_Node, str | None]]) -> None:
     for node, piece in flow:
         if piece is not None:

@@ -64,6 +64,17 @@ def test_short_section_beside_the_body_box(wrap):
     assert got == "\n".join([*(f"{PARA * 3}{i}" for i in range(5)), "They meet again in the spring."])
 
 
+@pytest.mark.parametrize("wrap", ["article", "main"])
+def test_anchors_and_class_words_inside_the_article(wrap):
+    long = (PARA * 3).strip()
+    body = f"""<h1>Title</h1><p>{long}</p><h2 id="related-work">Related work</h2><p>{long}</p><h2 id="legal-framework" class="social">Law</h2>
+<section id="discussion"><h3>Discussion</h3><p>Brief.</p><p>{long}</p></section><div class="social-impact"><p>{long}</p></div>"""
+    junk = """<div class="ad">Buy now</div><div class="related"><a href=/a>A story of some length, with a headline that goes on and on and on and on</a></div>
+<div class="comments"><div class="comment"><p>I think so</p></div><div class="comment"><p>""" + PARA * 5 + "</p></div></div>"
+    want = ["Title", long, "Related work", long, "Law", "Discussion", "Brief.", long, long]
+    assert main_text(page(f"<{wrap}>{body}{junk}</{wrap}>")) == "\n".join(want)
+
+
 def test_deep_nesting():
     assert main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
