@@ -16,7 +16,8 @@ comments. A class or id alone doesn't condemn an element that holds a main headi
 an article (``<div class="has-sidebar">`` around a whole page). Inside an article or main
 it only supports removal: the element must also have little text per tag, much of it
 in links, or several such elements within, as a list of comments has. Headings, and the ids of
-sections that carry one, are anchors and count for nothing there. Lists of links inside the article go too.
+sections that carry one, are anchors and count for nothing there. Lists and boxes of three links or more
+with nearly no text outside them go too; paragraphs and tables don't.
 
 Blocks come out in page order. White space inside a block becomes one space,
 character references are decoded, and blocks are joined by a line feed.
@@ -80,7 +81,7 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _MIN_PARAGRAPH = 80
 #: Inside an article, an element that its class or id speaks against goes if it has fewer characters per tag, this share in links, or so many such elements within.
 _MIN_DENSITY, _LINK_HEAVY, _SEVERAL = 80, 0.5, 2
-_LINK_SHARE, _LINK_TAGS = 0.7, 3
+_LINK_SHARE, _LINK_TAGS = 0.95, 3
 
 
 class _Node:
@@ -315,7 +316,7 @@ def _inside(x: _Node, body: _Node) -> bool:
 
 
 def _link_list(x: _Node) -> bool:
-    return x.tag in ("ul", "ol", "div", "section", "table", "p") and x.link_tags >= _LINK_TAGS and x.links >= _LINK_SHARE * max(x.chars, 1)
+    return x.tag in ("ul", "ol", "div", "section") and x.link_tags >= _LINK_TAGS and x.links >= _LINK_SHARE * max(x.chars, 1)
 
 
 def main_text(page: str | None) -> str:

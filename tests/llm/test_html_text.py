@@ -75,6 +75,15 @@ def test_anchors_and_class_words_inside_the_article(wrap):
     assert main_text(page(f"<{wrap}>{body}{junk}</{wrap}>")) == "\n".join(want)
 
 
+def test_linked_names_and_references_stay():
+    names = ", ".join(f"<a href=/{i}>Member of the board {i}</a>" for i in range(4))
+    table = "<table><tr>" + "".join(f"<td><a href=/{i}>Cell {i}</a>" for i in range(4)) + "</table>"
+    refs = "<ol>" + "".join(f"<li><a href=/{i}>A study of the plans of the committee, volume {i}</a>, Smith, 2001</li>" for i in range(4)) + "</ol>"
+    got = main_text(page(f"<article><p>{PARA * 3}</p><p>{names}</p>{table}{refs}</article>"))
+    want = [(PARA * 3).strip(), ", ".join(f"Member of the board {i}" for i in range(4)), *(f"Cell {i}" for i in range(4))]
+    assert got == "\n".join([*want, *(f"A study of the plans of the committee, volume {i}, Smith, 2001" for i in range(4))])
+
+
 def test_deep_nesting():
     assert main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
