@@ -13,8 +13,9 @@ Numbers that don't validate (a card number with a wrong check digit, an octet ov
 255, the 31st of April) are left as they are.
 
 Only DataFrame functions are used. Defined results: a null text stays null and has
-no finds; empty and very long texts need no care; other columns pass through;
-columns named like the added ones are replaced.
+no finds; no text is too long, whatever runs of digits, labels or signs it holds, since no
+pattern recurses without a limit (of a name of more than 127 labels the first ones
+count); other columns pass through; columns named like the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -32,7 +33,9 @@ _SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])"
 _IP = r"(?<![\p{L}\p{N}.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\p{N})"
 _DATE = r"(?<![\p{N}/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\p{N}/-])"
 _SECRET = r"(?<![\p{L}\p{N}])(?=[0-9a-f]{0,63}\d)[0-9a-f]{32,128}(?![\p{L}\p{N}])"
-_EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?(?:\.[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?)*\.\p{L}{2,}"
+#: Names have 127 labels at most. The limit is needed: a group that repeats without one is matched by recursion, as deep as the text is long.
+_LABEL = r"[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?"
+_EMAIL = rf"(?<![\p{{L}}\p{{N}}._%+-])[\p{{L}}\p{{N}}._%+-]++@{_LABEL}(?:\.{_LABEL}){{0,125}}\.\p{{L}}{{2,}}"
 #: One look at the next character decides which alternatives are tried at all.
 CANDIDATE = rf"(?=[0-9+(])(?:{'|'.join((_DATE, _SSN, _IP, _PHONE, _CARD))})|(?=[0-9a-f]){_SECRET}|{_EMAIL}"
 #: What every candidate has.

@@ -1,5 +1,8 @@
+import datetime
+import hashlib
 import re
 
+import regex
 from pyspark.sql import functions as F
 
 from pointloom.llm import pii_feistel as p
@@ -52,20 +55,109 @@ def test_permutations(spark):
     assert tuple(moved) == (p._DAYS, "1900-01-01", "2099-12-31")
 
 
-def test_digits_match_a_brute_force_network(spark):
-    import hashlib
+def number(v, left, right, tag, key):
+    a, b = v // right, v % right
+    for i in range(p.ROUNDS):
+        f = int(hashlib.sha256(f"{key}|{tag}|{i}|{b}".encode()).hexdigest()[:13], 16)
+        a, b = b, (a + f) % (left if i % 2 == 0 else right)
+    return a * right + b
+
+
+def digits(s, tag, key):
+    n = min(len(s), 18)
+    head, low = s[: len(s) - n], s[len(s) - n :]
+    return head + f"{number(int(low), 10 ** (n // 2), 10 ** (n - n // 2), f'{tag}:{n}:{head}', key):0{n}d}"
+
+
+def shaped(shape, new):
+    new = iter(new)
+    return "".join(next(new) if c in "0123456789" else c for c in shape)
+
+
+def hexed(s, key):
+    n = len(s) // 2
+    a, b = s[:n], s[n:]
+    for i in range(p.ROUNDS):
+        pad = hashlib.sha256(f"{key}|hex|{i}|{b}".encode()).hexdigest()
+        a, b = b, "".join(f"{int(x, 16) ^ int(y, 16):x}" for x, y in zip(a, pad))  # noqa: B905
+    return a + b
+
+
+def dated(c, key):
+    for form in ("%Y-%m-%d", "%d/%m/%Y", "%d.%m.%Y", "%m/%d/%Y"):
+        try:
+            day = (datetime.datetime.strptime(c, form).date() - datetime.date(1900, 1, 1)).days
+        except ValueError:
+            continue
+        if not 0 <= day < 73049:
+            return None
+        day = number(day, 283, 259, "date", key)
+        while day >= 73049:
+            day = number(day, 283, 259, "date", key)
+        return (datetime.date(1900, 1, 1) + datetime.timedelta(day)).strftime(form)
+    return None
+
+
+def brute_value(c, key):
+    """The pseudonym of a candidate, or None if it doesn't validate: a plain version, with numbers in place of columns."""
+    d = re.sub("[^0-9]", "", c)
+    if "@" in c:
+        return "u" + hashlib.sha256(f"{key}|email|{c.lower()}".encode()).hexdigest()[:16] + "@mail.example.invalid"
+    if re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}", c):
+        return dated(c, key)
+    if re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", c):
+        return None if d[:3] in ("000", "666") or d[0] == "9" or d[3:5] == "00" or d[5:] == "0000" else shaped(c, digits(d, "ssn", key))
+    if re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", c):
+        parts = [int(x) for x in c.split(".")]
+        v = number(int.from_bytes(bytes(parts), "big"), 1 << 16, 1 << 16, "ip", key) if max(parts) < 256 else None
+        return None if v is None else ".".join(str(x) for x in v.to_bytes(4, "big"))
+    if c[0] in "+(" or re.fullmatch(r"[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}", c):
+        code = (re.match(r"\+[0-9]{1,3}(?=[ .(-])", c) or [""])[0]
+        rest = c[len(code) :]
+        return code + shaped(rest, digits(re.sub("[^0-9]", "", rest), "phone", key)) if 8 <= len(d) <= 15 else None
+    if re.fullmatch(r"[0-9](?:[ -]?[0-9]){12,18}", c):
+        if not (luhn(d) and d.strip("0")):
+            return None
+        new = digits(d[:-1], "card", key)
+        return shaped(c, new + next(x for x in "0123456789" if luhn(new + x)))
+    return hexed(c, key)
+
+
+def brute(text, key):
+    out, at, n = [], 0, 0
+    for m in regex.finditer(p.CANDIDATE.replace(r"\d", "[0-9]"), text or ""):
+        new = brute_value(m[0], key)
+        out += [text[at : m.start()], m[0] if new is None else new]
+        at, n = m.end(), n + (new is not None)
+    return ("".join(out) + text[at:] if text else text), n
 
-    def brute(s, tag, key):
-        n, h = len(s), len(s) // 2
-        a, b = int(s) // 10 ** (n - h), int(s) % 10 ** (n - h)
-        for i in range(p.ROUNDS):
-            f = int(hashlib.sha256(f"{key}|{tag}:{n}:|{i}|{b}".encode()).hexdigest()[:13], 16)
-            a, b = b, (a + f) % 10 ** (h if i % 2 == 0 else n - h)
-        return f"{a * 10 ** (n - h) + b:0{n}d}"
 
+def test_digits_match_a_brute_force_network(spark):
     values = ["4485460990498", "0001112", "123456789012345678", "42"]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v string").select(p.permute_digits(F.col("v"), "t", "k")).collect()]
-    assert got == [brute(v, "t", "k") for v in values]
+    assert got == [digits(v, "t", "k") for v in values]
+
+
+def test_every_path_from_text_to_text(spark):
+    texts = [
+        "mail Ann.B+x@sub-1.example.org, or a@b.co.2 and a@b.com..next, not a@b..com or a@b.c",
+        "hosts 10.0.0.1 255.255.255.255 256.1.1.1 1.2.3.4.5 0.0.0.0", "days 1900-01-01 2099-12-31 2100-01-01 29.02.2000 29.02.1900 05/06/1999 13/06/1999 06/13/1999 31/31/1999",
+        "hex " + "0123456789abcdef" * 2 + " " + "a1" * 64 + " " + "b2" * 33 + "c " + "d3" * 65 + " " + "a" * 40, "call +49 30 123456 or +1 (017) 555-7713 or (212) 555-1234 or 212.555.1234 or +1 2 34 5",
+        "ssn 123-45-6789 000-45-6789 666-45-6789 123-00-6789 923-45-6789", "cards 4485460990498125 4485-4609-9049-8125 4485460990498126 0000000000000 6011000990139424000", "é@é.com x123-45-6789 1.1.1.1é", "", None,
+    ]
+    assert run(spark, *texts) == [brute(t, "k") for t in texts]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r["doc_id"]: (r["text"], r["n_pii"]) for r in p.pseudonymise(docs, "key").collect()}
+    assert got == {r["doc_id"]: brute(r["text"], "key") for r in docs.collect()}
+    assert sum(n for _, n in got.values()) > 20
+
+
+def test_no_text_is_too_long(spark):
+    n = 100_000
+    odd = ["x@" + "a." * n, "x@" + "ab." * n + "com", "1" * n, "1 " * n, "1-" * n, "1." * n, "+1" * n, "0a" * n, "a" * n, "@" * n, "a@" * n, "x@" + "a" * n, "x@" + "a-" * n, "." * n + "@a.com", "a" * n + "@a.com", "x@a." + "b" * n, "(1" * n, "(123) " * n, "2000-01-0" * n]
+    got = run(spark, *odd)
+    for (new, found), text in zip(got, odd, strict=True):
+        assert (new, found) == brute(text, "k"), text[:20]
 
 
 def test_tables(spark, sf_dir):
