@@ -5,26 +5,30 @@ A page becomes a tree of elements. Each element has its composite text density
 how many of its tags are links. An element's score is the sum of its children's
 densities, and the subtree with the highest score is the article. The smallest
 density on the path from there to the body is the threshold: an ancestor takes the
-article's place while another of its children with a real paragraph is at least
-that dense, so that an article dealt out over sibling boxes stays whole. Then the
-outermost ``article`` around it is taken, or else the ``main``, or else the smallest box that
-holds an h1 as well: headlines and short sections beside the densest box stay.
-
-Elements that are boilerplate by their tag, role or class are taken out first:
-menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments. A class or id alone doesn't condemn an element that holds a main heading or
-an article (``<div class="has-sidebar">`` around a whole page). Inside an article or main
-it only supports removal: the element must also have little text per tag, much of it
-in links, or several such elements within, as a list of comments has. Headings, and the ids of
-sections that carry one, are anchors and count for nothing there. Lists and boxes of three links or more
-with nearly no text outside them go too; paragraphs and tables don't.
+article's place while another of its children is at least that dense, so that an
+article dealt out over sibling boxes stays whole. Then the outermost ``article``
+around it is taken, or else the ``main``, or else the smallest box that holds an h1 as
+well: headlines and short sections beside the densest box stay.
+
+What the page itself declares not to be the article counts as no text: menus, footers,
+asides, forms, dialogs, headers outside an article, by tag or role, hidden elements, scripts and styles.
+
+Class and id words (sidebar, advert, comments) decide nothing by themselves. A box that
+they speak against scores a tenth, so that density chooses against it only if there is hardly
+anything else, and they don't count for a box that holds a main heading or an article
+(``<div class="has-sidebar">`` around a whole page). Around the article, such boxes
+are left out. Inside it, or inside any article or main, such a box goes only if its text agrees: fewer than a
+third of the article's characters per tag, links for half of it, or several such boxes within, as a list of
+comments has; and there a name counts only if all its words are of that kind
+(``social-links``, not ``social-impact``). Headings, paragraphs, tables, and sections
+with a heading are never such boxes. Lists of nothing but links that are less dense than the threshold go too.
 
 Blocks come out in page order. White space inside a block becomes one space,
 character references are decoded, and blocks are joined by a line feed.
 
 Defined results: a null or empty page has the empty text; unclosed and misnested
 tags are repaired as browsers do, in the main; a tag that is cut off by the end of
-the page is dropped; repeated rows are alike.
+the page is dropped; repeated rows are alike. Work is linear in the page, however deeply tags nest.
 """
 
 from __future__ import annotations
@@ -49,7 +53,7 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 _CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes svg math object select".split())
+_RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes svg select".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -76,38 +80,46 @@ _OUT_WORDS = frozenset(
     "widget widgets skip copyright disclaimer legal".split()
 )
 _OUT_HEADER_WORDS = frozenset("header head masthead".split())
+#: Words that say nothing of what a box holds.
+_PLAIN_WORDS = frozenset(
+    "area article bar block body bottom box btn button buttons card container content desktop entry global group head header heading inner item items js left "
+    "link links list main mobile outer page panel post posts right row section site slot story text thread title top unit wrap wrapper zone".split()
+)
 _NEVER_OUT = frozenset("html body main".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_MIN_PARAGRAPH = 80
-#: Inside an article, an element that its class or id speaks against goes if it has fewer characters per tag, this share in links, or so many such elements within.
-_MIN_DENSITY, _LINK_HEAVY, _SEVERAL = 80, 0.5, 2
-_LINK_SHARE, _LINK_TAGS = 0.95, 3
+#: Elements that are boxes: a class or id of others says how they look.
+_BOXES = frozenset("a article center details div figure ins section span ul ol dl".split())
+#: What a box that its class or id speaks against scores.
+_DOUBT = 0.1
+#: Inside the article it goes if it has less than this share of the article's characters per tag, this share in links, or so many such boxes within.
+_THIN, _LINK_HEAVY, _SEVERAL = 1 / 3, 0.5, 2
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "out", "chars", "links", "tags", "link_tags", "density", "first", "last", "in_link", "longest", "soft", "core")
+    __slots__ = ("tag", "parent", "children", "out", "chars", "links", "tags", "link_tags", "density", "first", "last", "in_link", "named", "doubted", "headed", "core", "suspects", "declared", "within")
 
-    def __init__(self, tag: str, parent: _Node | None, out: bool, soft: int, first: int):
-        self.tag, self.parent, self.out, self.soft, self.first, self.last = tag, parent, out, soft, first, first
-        self.core = tag in ("h1", "main") or (tag == "article" and not soft)
+    def __init__(self, tag: str, parent: _Node | None, out: bool, named: int, first: int):
+        self.tag, self.parent, self.out, self.named, self.first, self.last = tag, parent, out, named, first, first
         self.in_link = tag == "a" or (parent is not None and parent.in_link)
+        self.declared = tag in ("article", "main") or (parent is not None and parent.declared)
+        self.core = tag in ("h1", "main") or (tag == "article" and not named)
         self.children: list[_Node] = []
-        self.chars = self.links = self.tags = self.link_tags = self.longest = 0
+        self.chars = self.links = self.tags = self.link_tags = self.suspects = 0
+        self.headed, self.doubted, self.within = tag in _HEADINGS, False, False
         self.density = 0.0
 
 
 def _by_tag(tag: str, parent: _Node) -> bool:
-    if tag == "header":
-        node = parent
-        while node is not None and node.tag not in ("article", "main"):
-            node = node.parent
-        return node is None
-    return tag in _OUT_TAGS
+    return tag in _OUT_TAGS or (tag == "header" and not parent.declared)
+
+
+#: How a class or id speaks against an element: with some of its words, or with all that mean anything.
+_SOME, _ALL = 1, 2
 
 
-def _by_attributes(tag: str, attributes: str) -> tuple[bool, int]:
-    """Whether an element is out by its role or because it is hidden, and whether its class (1) or id (2) speaks against it."""
-    out, soft = False, 0
+def _by_attributes(tag: str, attributes: str) -> tuple[bool, int, bool]:
+    """Whether an element is out by its role or because it is hidden, how its class and id speak against it, and whether the id alone does."""
+    out, by = False, {"class": 0, "id": 0}
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
@@ -116,17 +128,21 @@ def _by_attributes(tag: str, attributes: str) -> tuple[bool, int]:
             out |= value.strip().lower() in _OUT_ROLES
         elif name == "style":
             out |= re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) is not None
-        elif name in ("class", "id") and value:
-            words = {w.lower() for w in _CAMEL.findall(value)}
-            if words & _OUT_WORDS or (words & _OUT_HEADER_WORDS and tag in ("div", "section", "table", "td")):
-                soft |= 1 if name == "class" else 2
-    return out, soft
+        elif name in by:
+            for token in value.split():
+                words = {w.lower() for w in _CAMEL.findall(token)}
+                against = words & _OUT_WORDS or (words & _OUT_HEADER_WORDS and tag in ("div", "section", "table", "td"))
+                if against:
+                    by[name] = max(by[name], _ALL if words <= _OUT_WORDS | _OUT_HEADER_WORDS | _PLAIN_WORDS or all(w.isdigit() for w in words - _OUT_WORDS) else _SOME)
+    return out, max(by.values()), by["id"] > by["class"]
 
 
 def _parse(page: str) -> tuple[_Node, list[_Node], list[tuple[_Node, str | None]]]:
     """The root, all nodes with parents first, and the text in page order; a None text ends a block."""
     root = _Node("#root", None, False, 0, 0)
     nodes, flow, stack, at = [root], [], [root], 0
+    places: dict[str, list[int]] = {}  # where the stack holds a tag
+    block_places: list[int] = []
 
     def text(a: int, b: int) -> None:
         if a < b and not stack[-1].out:
@@ -134,19 +150,21 @@ def _parse(page: str) -> tuple[_Node, list[_Node], list[tuple[_Node, str | None]
 
     def close(k: int) -> None:
         """Take stack[k:] off the stack."""
-        for node in stack[k:]:
+        for node in reversed(stack[k:]):
+            places[node.tag].pop()
             node.last = len(flow)
             if node.tag in _BLOCK:
+                block_places.pop()
                 flow.append((node, None))
         del stack[k:]
 
-    def find(tags: set[str] | frozenset[str], stop: set[str] | frozenset[str] = frozenset()) -> int:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                return k
-            if stack[k].tag in stop:
-                return 0
-        return 0
+    def last(tags: set[str] | frozenset[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def find(tags: set[str], stop: set[str] = frozenset()) -> int:
+        """The innermost open element of ``tags``, unless one of ``stop`` is inside it; 0 if there is none."""
+        k = last(tags)
+        return k if k and k >= last(stop) else 0
 
     size = len(page)
     while at < size:
@@ -173,8 +191,8 @@ def _parse(page: str) -> tuple[_Node, list[_Node], list[tuple[_Node, str | None]
         if m[1]:
             if tag == "p" and not find({"p"}):
                 continue
-            k = find({tag}, frozenset() if tag in _BLOCK else _BLOCK)
-            if k:
+            k = find({tag})
+            if k and (tag in _BLOCK or not block_places or k > block_places[-1]):
                 close(k)
             elif tag == "br":
                 text(lt, lt)
@@ -186,7 +204,7 @@ def _parse(page: str) -> tuple[_Node, list[_Node], list[tuple[_Node, str | None]
         parent = stack[-1]
         if tag in _RAW:  # up to its end tag there are no tags
             end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*(?:>|\\Z)", re.I).search(page, at)
-            if not m[3].rstrip().endswith("/") or tag not in ("svg", "math", "object"):
+            if not m[3].rstrip().endswith("/") or tag != "svg":
                 at = end.end() if end else size
             continue
         if tag in _BLOCK:
@@ -194,59 +212,28 @@ def _parse(page: str) -> tuple[_Node, list[_Node], list[tuple[_Node, str | None]
         elif tag in ("br", "img", "input", "wbr"):
             if tag == "br" and not parent.out:
                 flow.append((parent, " "))
-        out, soft = (False, 0) if not m[3] or tag in _NEVER_OUT else _by_attributes(tag, m[3])
-        node = _Node(tag, parent, parent.out or out or _by_tag(tag, parent), soft, len(flow))
+        out, named, by_id = (False, 0, False) if not m[3] or tag in _NEVER_OUT else _by_attributes(tag, m[3])
+        node = _Node(tag, parent, parent.out or out or _by_tag(tag, parent), named, len(flow))
+        node.headed |= by_id and tag == "section"  # an anchor, if there is a heading
         nodes.append(node)
         parent.children.append(node)
         if tag not in _VOID:
+            places.setdefault(tag, []).append(len(stack))
+            if tag in _BLOCK:
+                block_places.append(len(stack))
             stack.append(node)
         elif tag in _BLOCK:
             flow.append((parent, None))
     close(1)
     root.last = len(flow)
-    if any(x.soft for x in nodes):
-        for x in reversed(nodes[1:]):
-            x.parent.core |= x.core and not x.out
-        _condemn(nodes, flow)
-        flow = [(x, None if x.out else piece) for x, piece in flow]
     return root, nodes, flow
 
 
-def _condemn(nodes: list[_Node], flow: list[tuple[_Node, str | None]]) -> None:
-    """Take out the elements that their class or id speaks against, inside an article or main only if their text does too."""
-    size = {x: [0, 0, 0, 0, False] for x in nodes}  # characters, those in links, tags, condemned elements, headings
-    for x, piece in flow:
-        if piece is not None:
-            n = len("".join(piece.split()))
-            size[x][0] += n
-            size[x][1] += n if x.in_link else 0
-    for x in reversed(nodes[1:]):  # children before parents
-        if not x.out:
-            mine, up = size[x], size[x.parent]
-            if x.tag in _HEADINGS or (x.tag == "section" and mine[4]):
-                x.soft &= 1  # an anchor
-            for i, more in enumerate((mine[0], mine[1], mine[2] + 1, mine[3] + bool(x.soft and x.tag not in _HEADINGS))):
-                up[i] += more
-            up[4] |= mine[4] or x.tag in _HEADINGS
-    inside = {nodes[0]: False}
-    for x in nodes[1:]:
-        within = inside[x.parent]
-        inside[x] = within or x.tag in ("article", "main")
-        if not x.out:
-            chars, links, tags, condemned, _ = size[x]
-            against = bool(x.soft) and not x.core
-            if against and inside[x] and not (x.tag == "article" and within):  # an article in an article is another one
-                thin = chars < _MIN_DENSITY * (tags + 1) or links >= _LINK_HEAVY * chars
-                against = x.tag not in _HEADINGS and (thin or condemned >= _SEVERAL)
-            x.out = x.parent.out or against
-
-
 def _measure(nodes: list[_Node], flow: list[tuple[_Node, str | None]]) -> None:
     for node, piece in flow:
         if piece is not None:
             n = len("".join(piece.split()))
             node.chars += n
-            node.longest = max(node.longest, n)
             if node.in_link:
                 node.links += n
     for node in reversed(nodes):  # children before parents
@@ -256,26 +243,52 @@ def _measure(nodes: list[_Node], flow: list[tuple[_Node, str | None]]) -> None:
             up.links += node.links
             up.tags += node.tags + 1
             up.link_tags += node.link_tags + (node.tag == "a")
-            up.longest = max(up.longest, node.longest)
+            up.headed |= node.headed
+            up.core |= node.core
+            node.doubted = bool(node.named) and node.tag in _BOXES and not node.core
+            up.suspects += node.suspects + node.doubted
+
+
+def density(chars: int, tags: int, links: int, link_tags: int, link_share: float) -> float:
+    """The composite text density of an element; ``link_share`` is the body's."""
+    if not chars:
+        return 0.0
+    base = math.log(chars * max(links, 1) / max(chars - links, 1) + link_share * chars + math.e)
+    ratio = chars * max(tags, 1) / (max(links, 1) * max(link_tags, 1))
+    return chars / max(tags, 1) * max(math.log(max(ratio, 1.0)) / math.log(base), 0.0)
 
 
 def _densities(nodes: list[_Node], body: _Node) -> None:
     share = body.links / max(body.chars, 1)
     for x in nodes:
-        if x.out or not x.chars:
-            continue
-        tags, links, link_tags = max(x.tags, 1), max(x.links, 1), max(x.link_tags, 1)
-        base = math.log(x.chars * links / max(x.chars - x.links, 1) + share * x.chars + math.e)
-        ratio = x.chars * tags / (links * link_tags)
-        x.density = x.chars / tags * max(math.log(max(ratio, 1.0)) / math.log(base), 0.0)
+        if not x.out:
+            x.density = density(x.chars, x.tags, x.links, x.link_tags, share)
+
+
+def _densest(nodes: list[_Node], body: _Node) -> _Node:
+    """The subtree of the body whose children's densities have the largest sum, boxes in doubt for a tenth."""
+    best, most = body, -1.0
+    weight: dict[_Node | None, float] = {None: 1.0}
+    for x in nodes:  # parents first
+        x.within = x is body or (x.parent is not None and x.parent.within)
+        # inside an article a mixed name says nothing
+        doubt = x.doubted and (not x.declared or x.tag == "article" or (x.named == _ALL and not _structure(x)))
+        weight[x] = _DOUBT if doubt else weight[x.parent]
+    for x in nodes:
+        if x.within and not x.out and x.chars:
+            total = sum(c.density * weight[c] for c in x.children if not c.out)
+            if total > most:
+                best, most = x, total
+    return best
 
 
-def _article(nodes: list[_Node], body: _Node) -> _Node:
-    best, most = body, sum(c.density for c in body.children)
-    for x in nodes:
-        total = sum(c.density for c in x.children if not c.out)
-        if not x.out and x.chars and total > most and _inside(x, body):
-            best, most = x, total
+def _structure(x: _Node) -> bool:
+    """A section with a heading is a part of a text."""
+    return x.tag == "section" and x.headed
+
+
+def _grown(best: _Node, body: _Node) -> tuple[_Node, float]:
+    """``best``, or the ancestor over whose children the article is dealt out, and the threshold."""
     while best is not body and best.tag not in _BLOCK:  # a box, not a run inside a paragraph
         best = best.parent
     path, threshold = best, best.density
@@ -284,12 +297,11 @@ def _article(nodes: list[_Node], body: _Node) -> _Node:
         threshold = min(threshold, path.density)
     top = best
     while top is not body:
-        up = top.parent
-        others = [c for c in up.children if c is not top and not c.out and c.tag in _BLOCK and c.density >= threshold and c.longest >= _MIN_PARAGRAPH]
+        others = any(c is not top and not c.out and not c.doubted and c.tag in _BLOCK and c.chars and c.density >= threshold for c in top.parent.children)
         if not others and top.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "tr", "tbody", "ul", "ol"):
             break
-        top = up
-    return _whole(top, nodes, body)
+        top = top.parent
+    return top, threshold
 
 
 def _whole(top: _Node, nodes: list[_Node], body: _Node) -> _Node:
@@ -309,14 +321,30 @@ def _whole(top: _Node, nodes: list[_Node], body: _Node) -> _Node:
     return next((x for x in around if x in titled), top)
 
 
-def _inside(x: _Node, body: _Node) -> bool:
-    while x is not None and x is not body:
+def _left_out(nodes: list[_Node], article: _Node, top: _Node, threshold: float) -> list[tuple[int, int]]:
+    """The stretches of the flow inside ``article`` that aren't part of it, in order."""
+    path, x = set(), top
+    while x is not None:
+        path.add(x)
         x = x.parent
-    return x is body
-
-
-def _link_list(x: _Node) -> bool:
-    return x.tag in ("ul", "ol", "div", "section") and x.link_tags >= _LINK_TAGS and x.links >= _LINK_SHARE * max(x.chars, 1)
+    typical = top.chars / (top.tags + 1)
+    inside, drop = {}, []
+    for x in nodes:  # parents first
+        inside[x] = x is top or x.declared or inside.get(x.parent, False)
+        if x.out or x in path or not article.first <= x.first <= x.last <= article.last:
+            continue
+        if x.doubted and x.tag == "article":  # of someone else
+            gone = True
+        elif x.doubted and not inside[x]:
+            gone = True
+        elif x.doubted and x.named == _ALL:
+            thin = x.chars < _THIN * typical * (x.tags + 1) or x.links >= _LINK_HEAVY * x.chars
+            gone = (thin and not _structure(x)) or x.suspects >= _SEVERAL
+        else:
+            gone = x.tag in ("ul", "ol") and bool(x.chars) and x.links == x.chars and x.density < threshold
+        if gone:
+            drop.append((x.first, x.last))
+    return drop
 
 
 def main_text(page: str | None) -> str:
@@ -328,17 +356,20 @@ def main_text(page: str | None) -> str:
     if not body.chars:
         body = root
     _densities(nodes, body)
-    article = _article(nodes, body)
-    drop = [(x.first, x.last) for x in nodes if x is not article and not x.out and _link_list(x)]
-    blocks, current, k = [], [], 0
+    top, threshold = _grown(_densest(nodes, body), body)
+    article = _whole(top, nodes, body)
+    drop = _left_out(nodes, article, top, threshold)
+    blocks, current, k, until = [], [], 0, 0
     for i in range(article.first, article.last):
-        while k < len(drop) and drop[k][1] <= i:
+        while k < len(drop) and drop[k][0] <= i:
+            until = max(until, drop[k][1])
             k += 1
         piece = flow[i][1]
-        if piece is None:
-            blocks.append("".join(current))
-            current = []
-        elif not (k < len(drop) and drop[k][0] <= i):
+        if piece is None or flow[i][0].out:
+            if piece is None:
+                blocks.append("".join(current))
+                current = []
+        elif i >= until:
             current.append(piece)
     blocks.append("".join(current))
     clean = (" ".join(html.unescape(b).split()) if "&" in b else " ".join(b.split()) for b in blocks)
