@@ -277,7 +277,7 @@ def _densest(nodes: list[_Node], body: _Node) -> _Node:
     for x in nodes:
         if x.within and not x.out and x.chars:
             total = sum(c.density * weight[c] for c in x.children if not c.out)
-            if total > most:
+            if total >= most:  # of equals the inner one
                 best, most = x, total
     return best
 

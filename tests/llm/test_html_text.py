@@ -1,8 +1,12 @@
 import html
+import math
+import random
 import re
+import time
 
 import pytest
 
+from pointloom.llm import html_text
 from pointloom.llm.html_text import extract_text, main_text
 
 PARA = "The committee met on Tuesday to weigh the plans, and after a long debate it agreed to most of them. "
@@ -84,6 +88,126 @@ def test_linked_names_and_references_stay():
     assert got == "\n".join([*want, *(f"A study of the plans of the committee, volume {i}, Smith, 2001" for i in range(4))])
 
 
+@pytest.mark.parametrize("wrap", ["article", "main"])
+@pytest.mark.parametrize(
+    ("inside", "want"),
+    [
+        (f'<div class="notice"><p>{PARA * 2}</p></div>', [PARA * 2]),
+        (f'<section class="discussion"><h2>Talk</h2><p>Brief.</p><p>{PARA}</p></section>', ["Talk", "Brief.", PARA]),
+        (f'<div class="legal-analysis"><p>{PARA}</p><p>Brief.</p></div>', [PARA, "Brief."]),
+        ('<div class="alert-level">Level 3</div>', ["Level 3"]),
+        ('<p class="lead promotion">In short.</p>', ["In short."]),
+        ('<table class="social"><tr><td>a<td>b</table>', ["a", "b"]),
+        ("<p>So <math><mi>x</mi> = 1</math> here</p>", ["So x = 1 here"]),
+        ("<object><p>Held</p></object>", ["Held"]),
+        ("<p><a href=1>One</a>, <a href=2>two</a> and <a href=3>three</a></p>", ["One, two and three"]),
+        ("<div><a href=1>One</a> <a href=2>two</a> <a href=3>three</a></div>", ["One two three"]),
+        ('<div class="social-links"><a href=1>Follow us on this and that and many other places</a></div>', []),
+        ("<ul><li><a href=1>One</a><li><a href=2>Two</a></ul>", []),
+    ],
+)
+def test_density_decides_inside(wrap, inside, want):
+    body = f"<{wrap}><h1>Title</h1><p>{PARA * 3}</p>{inside}<p>{PARA * 2}</p></{wrap}>"
+    assert main_text(page(body)) == "\n".join(["Title", (PARA * 3).strip(), *(x.strip() for x in want), (PARA * 2).strip()])
+
+
+def test_title_and_lead_in_a_box_of_their_own():
+    body = f"<div><h1>Title</h1><p>Short lead.</p></div><div>{''.join(f'<p>{PARA * 3}{i}</p>' for i in range(5))}</div>"
+    assert main_text(page(body)) == "\n".join(["Title", "Short lead.", *(f"{PARA * 3}{i}" for i in range(5))])
+
+
+def test_names_alone_do_not_hide_the_only_text():
+    assert main_text(f'<body><div class="legal"><p>{PARA * 3}</p></div><div>x</div></body>') == (PARA * 3).strip()
+    talk = '<div class="comments">' + f'<div class="comment"><p>{PARA}</p></div>' * 20 + "</div>"
+    assert main_text(f'<body><div class="text"><p>{PARA * 3}</p><p>{PARA * 2}</p></div>{talk}</body>') == (PARA * 3).strip() + "\n" + (PARA * 2).strip()
+
+
+def grow(rng, depth=0):
+    """A random tree as (tag, text before the children, children)."""
+    tag = rng.choice(["div", "div", "span", "a", "b", "section"])
+    few = 0 if depth > 4 or tag == "a" else rng.randint(0, 4)
+    return tag, "w" * rng.choice([0, 0, 3, 40, 200]), [grow(rng, depth + 1) for _ in range(few)]
+
+
+def written(tree):
+    tag, text, children = tree
+    return f"<{tag}>{text}{''.join(map(written, children))}</{tag}>"
+
+
+def totals(tree, linked=False):
+    """(characters, tags, characters in links, link tags) of a tree, by recursion."""
+    tag, text, children = tree
+    linked = linked or tag == "a"
+    parts = [(totals(c, linked), c[0] == "a") for c in children]
+    return len(text) + sum(t[0] for t, _ in parts), sum(t[1] + 1 for t, _ in parts), linked * len(text) + sum(t[2] for t, _ in parts), sum(t[3] + a for t, a in parts)
+
+
+def test_densities_and_the_largest_sum_against_the_formula():
+    """Density: C / T log_B(C / LC * T / LT), B = ln(C / notLC * LC + LC_body / C_body * C + e); the subtree of the largest sum of children's densities."""
+    rng = random.Random(5)
+    for _ in range(200):
+        tree = ("body", "", [grow(rng) for _ in range(3)])
+        c_body, _, lc_body, _ = totals(tree)
+        if not c_body:
+            continue
+
+        def formula(t, linked):
+            c, n, lc, ln = totals(t, linked)
+            if not c:
+                return 0.0
+            base = math.log(c / max(c - lc, 1) * max(lc, 1) + lc_body / c_body * c + math.e)  # noqa: B023
+            return c / max(n, 1) * max(math.log(max(c / max(lc, 1) * max(n, 1) / max(ln, 1), 1), base), 0)
+
+        def walk(t, linked=False):
+            linked = linked or t[0] == "a"
+            yield formula(t, linked), sum(formula(x, linked or x[0] == "a") for x in t[2])
+            for x in t[2]:
+                yield from walk(x, linked)
+
+        root, nodes, flow = html_text._parse(f"<body>{''.join(map(written, tree[2]))}</body>")
+        html_text._measure(nodes, flow)
+        html_text._densities(nodes, nodes[1])
+        want = list(walk(tree))
+        assert [x.density for x in nodes[1:]] == pytest.approx([d for d, _ in want], rel=1e-9)
+        got = html_text._densest(nodes, nodes[1])
+        assert sum(x.density for x in got.children) == pytest.approx(max(s for _, s in want), rel=1e-9)
+        assert sum(x.density for x in got.children) == pytest.approx(want[nodes.index(got) - 1][1], rel=1e-9)
+
+
+def test_the_threshold_is_the_least_density_on_the_path():
+    close = "".join(f"<div><p>{PARA * 2}{i}</p><p>{PARA * 2}</p></div>" for i in range(3))
+    root, nodes, flow = html_text._parse(f"<body><div>{close}<div><i>short</i><i>run</i></div></div></body>")
+    html_text._measure(nodes, flow)
+    body = nodes[1]
+    html_text._densities(nodes, body)
+    best = html_text._densest(nodes, body)
+    top, threshold = html_text._grown(best, body)
+    path, x = [], best
+    while x is not root:
+        path.append(x.density)
+        x = x.parent
+    assert threshold == min(path) and top is nodes[2]
+
+
+@pytest.mark.parametrize("start", ["<span>", "<div>", "<p>", "<b>", "<header>", "<ul><li>", "<li>", "<table><tr><td>", "<a>", "<article>", '<div class="ad">', "<section class=comments>"])
+@pytest.mark.parametrize("then", ["<li>", "</i><p>"])
+def test_nested_tags_take_linear_time(start, then):
+    def seconds(n):
+        text = start * n + then * n + "text"
+        at = time.process_time()
+        main_text(text)
+        return time.process_time() - at
+
+    small, large = min(seconds(1_000) for _ in range(2)), seconds(16_000)
+    assert large < 60 * max(small, 0.02)  # 256 times, were it quadratic
+
+
+def test_a_hundred_thousand_nested_tags():
+    at = time.process_time()
+    main_text("<span>" * 100_000 + "<li>" * 100_000 + "text")
+    assert time.process_time() - at < 30
+
+
 def test_deep_nesting():
     assert main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
