@@ -1,8 +1,10 @@
 """SentencePiece encoding and decoding as shortest paths through a weighted transducer.
 
-A model file is compiled into the parts of a transducer: the normaliser (a space
-becomes the meta symbol, one more goes in front), the lexicon of pieces (a trie
-whose accepting states emit a piece at its weight), and the byte fallback (a
+A model file is compiled into the parts of a transducer: the normaliser (the model's
+rewriting rules, a trie whose accepting states emit the replacement of the longest
+match; white space is squeezed, a space becomes the meta symbol, and one more goes in
+front), the lexicon of pieces (a trie whose accepting states emit a piece at its weight;
+pieces that the model's user defined come whole and unchanged), and the byte fallback (a
 character outside the lexicon emits the pieces of its UTF-8 bytes). An input is
 composed with it state by state, and the path of least weight in the tropical
 semiring (min, +) gives the pieces.
@@ -20,7 +22,7 @@ paths fall apart there and the weights add up: each such part is solved once and
 kept in a bounded memory.
 
 Defined results: a null or empty text has no pieces and decodes to the empty
-text. A meta symbol in a text decodes to a space, as in the model's own library.
+text; text that the normaliser changes decodes to the changed text. A meta symbol in a text decodes to a space, as in the model's own library.
 """
 
 from __future__ import annotations
@@ -93,10 +95,74 @@ class _Memory(dict):
         return found
 
 
+class Rewriter:
+    """The model's rules as a transducer from text to text: at each place the longest rule that matches, or the character.
+
+    The rules come as a double array over UTF-8 bytes and a table of replacements that end in a zero byte.
+    """
+
+    def __init__(self, charsmap: bytes):
+        size = int.from_bytes(charsmap[:4], "little")
+        self.units = np.frombuffer(charsmap, "<u4", size // 4, 4).tolist()
+        self.table = charsmap[4 + size :]
+        self.begins: dict[str, bool] = {}
+        self.found: dict[int, str] = {}
+
+    @staticmethod
+    def _step(unit: int) -> int:
+        return (unit >> 10) << ((unit & 512) >> 6)
+
+    def _walk(self, raw: bytes, at: int) -> tuple[int, int, bool]:
+        """Length and table entry of the longest rule from ``at``, and whether the bytes ran out first."""
+        units, length, entry = self.units, 0, -1
+        node = self._step(units[0])
+        for k in range(at, len(raw)):
+            node ^= raw[k]
+            unit = units[node] if node < len(units) else 0
+            if unit & 0x800000FF != raw[k]:
+                return length, entry, False
+            node ^= self._step(unit)
+            if unit >> 8 & 1:
+                length, entry = k + 1 - at, units[node] & 0x7FFFFFFF
+        return length, entry, True
+
+    def _begins(self, c: str) -> None:
+        """Note whether a rule may start with this character."""
+        length, _, more = self._walk(c.encode("utf-8", "replace"), 0)
+        self.begins[c] = length > 0 or more
+
+    def _entry(self, at: int) -> str:
+        out = self.found[at] = self.table[at : self.table.index(b"\0", at)].decode()
+        return out
+
+    def __call__(self, text: str) -> str:
+        begins = self.begins
+        chars = set(text)
+        for c in chars - begins.keys():
+            self._begins(c)
+        if not any(begins[c] for c in chars):
+            return text
+        out, plain, k, n = [], 0, 0, len(text)
+        while k < n:
+            if not begins[text[k]]:
+                k += 1
+                continue
+            raw = text[k : k + 32].encode("utf-8", "replace")
+            length, entry, _ = self._walk(raw, 0)
+            if not length:
+                k += 1
+                continue
+            out += [text[plain:k], self.found.get(entry) or self._entry(entry)]
+            k += len(raw[:length].decode())
+            plain = k
+        out.append(text[plain:])
+        return "".join(out)
+
+
 class PieceTransducer:
     def __init__(self, model: bytes, memory_parts: int = MEMORY_PARTS):
         self.pieces, self.scores, self.kinds = [], [], []
-        self.model_type, self.prefix, self.squeeze, charsmap = _UNIGRAM, True, True, b""
+        self.model_type, trainer, spec = _UNIGRAM, {}, {}
         for field, value in _fields(model):
             if field == 1:
                 piece = dict(_fields(value))
@@ -104,16 +170,21 @@ class PieceTransducer:
                 self.scores.append(struct.unpack("<f", piece[2])[0] if 2 in piece else 0.0)
                 self.kinds.append(piece.get(3, _NORMAL))
             elif field == 2:
-                self.model_type = dict(_fields(value)).get(3, _UNIGRAM)
+                trainer |= dict(_fields(value))
             elif field == 3:
-                spec = dict(_fields(value))
-                charsmap, self.prefix, self.squeeze = spec.get(2, b""), bool(spec.get(3, 1)), bool(spec.get(4, 1))
-        if charsmap or _USER in self.kinds or self.model_type not in (_UNIGRAM, _BPE):
-            raise NotImplementedError("only identity normalisers without user symbols, of BPE or unigram models")
+                spec |= dict(_fields(value))
+        self.model_type = trainer.get(3, _UNIGRAM)
+        self.prefix, self.squeeze, self.escape = (bool(spec.get(k, 1)) for k in (3, 4, 5))
+        self.rewrite = Rewriter(spec[2]) if spec.get(2) else None
+        if _UNUSED in self.kinds or (_USER in self.kinds and self.model_type != _BPE) or self.model_type not in (_UNIGRAM, _BPE) or trainer.get(24, 0) or not self.escape:
+            raise NotImplementedError("only BPE models, and unigram ones without users' pieces, whose pieces are all in use and whose white space is a prefix of words")
         self.unknown = self.kinds.index(_UNKNOWN)
         self.byte_ids = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == _BYTE}
         self.bpe = self.model_type == _BPE
         lexicon = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == _NORMAL}
+        self.user = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == _USER}
+        whole = "|".join(map(re.escape, sorted(self.user, key=len, reverse=True)))  # the longest one that matches
+        self.user_pattern = re.compile(f"({whole})") if whole else None
         if any("\n" in p or META in p.lstrip(META) for p in lexicon):
             self.part = re.compile(r"(?s).+")  # paths don't fall apart
         else:
@@ -137,11 +208,18 @@ class PieceTransducer:
 
     # normaliser
     def normalise(self, text: str) -> str:
+        if self.rewrite is not None:
+            if self.user_pattern is None:
+                text = self.rewrite(text)
+            else:  # every other part is a user's piece
+                parts = self.user_pattern.split(text)
+                text = "".join(p if k % 2 else self.rewrite(p) for k, p in enumerate(parts))
         if self.squeeze:
             text = re.sub(" +", " ", text).strip(" ")
         if not text:
             return ""
-        return (META if self.prefix else "") + text.replace(" ", META)
+        text = (META if self.prefix else "") + text.replace(" ", META)
+        return text.rstrip(META) if self.squeeze else text  # written meta symbols at the end go too
 
     # bigram acceptor of BPE models
     def _label(self, i: int) -> str:
@@ -219,7 +297,13 @@ class PieceTransducer:
         return np.array(out[::-1], np.int32).tobytes()
 
     def encode_packed(self, text: str) -> bytes:
-        return b"".join(map(self.memory.__getitem__, self.part.findall(self.normalise(text))))
+        text = self.normalise(text)
+        if self.user_pattern is None:
+            return b"".join(map(self.memory.__getitem__, self.part.findall(text)))
+        out = []
+        for k, p in enumerate(self.user_pattern.split(text)):
+            out += [np.int32(self.user[p]).tobytes()] if k % 2 else map(self.memory.__getitem__, self.part.findall(p))
+        return b"".join(out)
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed(text), np.int32).tolist()

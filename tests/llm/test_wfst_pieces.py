@@ -52,6 +52,42 @@ def field(number, value):
     return varint(number << 3 | 2) + varint(len(value)) + value
 
 
+ODD = ["ｆｕｌｌ", "　", "ﬁ", "½", "e\u0301", "é", "か\u3099", "ｶﾞ", "①", "\u00a0", "\u200b", "\u00ad", "\t", "\r\n", "  ", " ", "ß", "İ", "Å", "ﷺ", "한", "a", "the", "🤗", "▁", "\u0000", "\ufeff", "\u2028", "x"]
+
+
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc", "nmt_nfkc_cf", "nfkc_cf"])
+@pytest.mark.parametrize("squeeze", [0, 1])
+@pytest.mark.parametrize("user", [[], ["<a>", "the x", "ﬁ", "aa", "a"]])
+def test_compiled_normaliser_and_users_pieces_equal_the_library(tmp_path, rule, squeeze, user):
+    rules = dict(w._fields(dict(w._fields(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()))[3]))[2]
+    user = [u.replace(" ", w.META) for u in user if u.replace(" ", w.META) not in w.PieceTransducer(w.model_bytes()).pieces]
+    model = w.model_bytes() + field(3, field(2, rules) + field(3, 1) + field(4, squeeze)) + b"".join(field(1, field(1, u.encode()) + field(2, 0.0) + field(3, 4)) for u in user)
+    (tmp_path / "m.model").write_bytes(model)
+    mine, theirs = w.PieceTransducer(model), sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "m.model"))
+    rng = random.Random(3)
+    for _ in range(1500):
+        text = "".join(rng.choice(ODD + PARTS + (["<a>", "aa"] if user else [])) for _ in range(rng.randint(0, 12)))
+        assert mine.encode(text) == theirs.encode(text), repr(text)
+
+
+def test_rewriting_rules_against_plain_search():
+    """Every rule of the table, found by walking it, applied longest first."""
+    rules = dict(w._fields(dict(w._fields(sentencepiece.SentencePieceNormalizer(rule_name="nfkc").serialized_model_proto()))[3]))[2]
+    machine = w.Rewriter(rules)
+    for text in ("", "plain", "ｆﬁ½", "e\u0301" * 3, "か\u3099x", "①" * 50):
+        want, k = "", 0
+        while k < len(text):
+            best = 0
+            for n in range(1, 9):
+                raw = text[k : k + n].encode()
+                length, entry, _ = machine._walk(raw, 0)
+                if length == len(raw):
+                    best, new = n, machine._entry(entry)
+            want += new if best else text[k]
+            k += max(best, 1)
+        assert machine(text) == want
+
+
 def test_unigram_shortest_path_matches_brute_force():
     scores = {"▁": -2.0, "a": -3.0, "b": -3.5, "ab": -4.0, "▁a": -3.9, "ba": -6.6, "aba": -7.0, "▁ab": -7.0}
     pieces = [("<unk>", 0.0, 2), *((p, s, 1) for p, s in scores.items())]
