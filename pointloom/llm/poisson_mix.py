@@ -10,9 +10,9 @@ Only DataFrame functions are used. The statistics that are broadcast have one ro
 for each source named in the target and one for all the others, whatever the data.
 
 Defined results: sources not named in the target (null included) form one group
-with the weight ``other``; documents of a group with weight 0 go; a null ``doc_id``
-hashes as the text ``null``; a null text stays null; rows with the same id get the
-same count, and all their copies stay. Added columns are ``copy`` (from 1) and
+with the weight ``other``; documents of a group with weight 0 go; a row with a null ``doc_id``
+is drawn and dealt out by the MD5 of its text (a null text as an empty one), so many of them don't share one fate or one task; a null text stays null; rows with the same id get the
+same count, and all their copies stay. A mean count over ``MAX_MEAN`` is an error, not a limit. Added columns are ``copy`` (from 1) and
 ``shuffle_key``; columns of those names in the input are replaced.
 """
 
@@ -69,7 +69,8 @@ def replicate_to_weights(
         .where("mean > 0")
         .select(F.col("__group").alias("__g"), poisson_table(F.col("mean")).alias("__sums"))
     )
-    who = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    text = F.coalesce(F.col("text"), F.lit("")) if "text" in docs.columns else F.lit("")
+    who = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(text.cast("binary"))))
     uniform = (_hash52(F.lit(str(seed)), who) + F.lit(0.5)) / F.lit(float(1 << 52))
     copies = F.size(F.filter("__sums", lambda p: p <= F.col("__u")))
     out = (

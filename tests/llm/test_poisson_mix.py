@@ -9,6 +9,7 @@ from tests.llm.cases import EDGE, edge, empty
 
 
 def brute(rows, weights, other, seed):
+    """Counts by id; for an id ``null:...`` see the module."""
     group = lambda s: s if s in weights else None
     n = Counter(group(s) for _, s in rows)
     w = {g: weights.get(g, other) for g in n}
@@ -18,7 +19,7 @@ def brute(rows, weights, other, seed):
         mean = w[g] / sum(w.values()) * len(rows) / n[g]
         if not mean:
             continue
-        u = (int(hashlib.md5(f"{seed}:{'null' if i is None else i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        u = (int(hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
         k, total = 0, math.exp(-mean)
         while total <= u:
             k += 1
@@ -40,6 +41,21 @@ def test_counts_match_brute_force(spark, sf_dir):
     assert sorted(map(str, rows)) == sorted(map(str, again))
 
 
+def test_rows_without_an_id_are_drawn_apart(spark):
+    texts = [f"text {i}" for i in range(300)] + [None, ""]
+    rows = [(None, t, "a") for t in texts]
+    out = poisson_mix.replicate_to_weights(spark.createDataFrame(rows, "doc_id long, text string, source string"), {"a": 1.0}, total=600, seed=4).collect()
+    want = Counter()
+    for t in texts:
+        u = (int(hashlib.md5(f"4:null:{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        k, total, mean = 0, math.exp(-600 / 302), 600 / 302
+        while total <= u:
+            k += 1
+            total += math.exp(k * math.log(mean) - mean - math.lgamma(k + 1))
+        want[t] += k
+    assert Counter(r["text"] for r in out) == +want and len({r["shuffle_key"] for r in out}) > 400
+
+
 def test_shares_and_shuffle(spark):
     docs = spark.range(20000).selectExpr("id AS doc_id", "'t' AS text", "IF(id % 3 = 0, 'hot', concat('s', id % 7)) AS source")
     weights = {"hot": 0.1} | {f"s{i}": 0.9 / 7 for i in range(7)}
