@@ -2,10 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm._util import cut_lineage
+from pointloom.llm._util import batches_of, column, cut_lineage
+
+#: So many edges (16 MB) are joined up in one task; more go through rounds over all tasks.
+TASK_EDGES = 1 << 20
+
+
+def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each node of the edges (child, parent) and the smallest node of its component."""
+    ends = [np.stack([column(b, c).to_numpy() for c in ("child", "parent")]) for b in batches]
+    if not ends:
+        return
+    nodes, at = np.unique(np.concatenate(ends, axis=1), return_inverse=True)
+    a, b = at.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while len(a):  # hook the larger root onto the smaller, then point every node at its root
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    yield batches_of({"node": pa.array(nodes), "root": pa.array(nodes[root])})
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -16,14 +40,15 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, task_edges: int = TASK_EDGES) -> DataFrame:
     """``edges`` (a, b: long) to (node, root): root is the component's smallest node.
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014).
     Every step replaces edges by as many or fewer, minima are pre-aggregated
     before the shuffle, and only two numbers a round reach the driver. Nodes
     without an edge to another node are not returned. Edges with a null end and
-    loops are left out.
+    loops are left out. No more than ``task_edges`` edges, a number that is checked, are joined up
+    in one task instead, with the same result; rounds that don't settle are an error.
     """
     links = cut_lineage(
         edges.where("a <> b")
@@ -31,6 +56,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct()
     )
     state = _state(links)
+    if state[0] <= task_edges:
+        return links.coalesce(1).mapInArrow(_joined_up, "node long, root long")
     for _ in range(max_rounds):
         if state[0] == 0:
             break

@@ -84,10 +84,11 @@ def test_edges(spark):
     assert simhash.simhash_report(empty(spark)).count() == 0 and simhash.keep_one_of_each(empty(spark)).count() == 0
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("in_a_task", [0, 1 << 20])
+def test_components_of_a_long_chain(spark, in_a_task):
     order = list(range(300))
     random.Random(3).shuffle(order)
     edges = list(zip(order, order[1:], strict=False)) + [(900, 901), (901, 900), (5, 5)]
-    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), task_edges=in_a_task).collect()}
     assert got == dict.fromkeys(order, 0) | {900: 900, 901: 900}
     assert np.all(list(got.values()) == np.minimum(list(got.keys()), list(got.values())))
