@@ -9,23 +9,21 @@ left join is asked for).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.expr import clamp_border, equirectangular, repeat_border, sq_dist, voxel_coords
-from pointloom.operators.checkpoints import cut
+from pointloom.operators.checkpoints import cut, numbered
 from pointloom.schema import XYZ
 
 #: Beyond so many target points the nested-loop join is not used.
 NESTED_LOOP_TARGETS = 4096
-#: Rounds of cell joins before the queries that are left go against all targets in tiles.
-CELL_ROUNDS = 2
-#: Targets and queries in a tile.
-TILE_TARGETS, TILE_QUERIES = 16384, 4096
+#: The coarsest boxes of the tree for far queries, along an axis; each level divides a box in four along an axis.
+COARSE_BOXES, FINE_POINTS = 16, 64
 #: The neighbourhoods of 1, 7 and 27 cells, each cell once.
 OFFSETS = {
     1: [(0, 0, 0)],
@@ -93,66 +91,105 @@ def _cell_width(targets: DataFrame, k: int) -> float:
     return max((volume * max(k, 8) / 8.0 / max(row["n"], 1)) ** (1 / 3), longest * 1e-6)
 
 
-def knn(queries: DataFrame, targets: DataFrame, k: int, width: float | None = None, nested_loop_targets: int = NESTED_LOOP_TARGETS) -> DataFrame:
+def knn(queries: DataFrame, targets: DataFrame, k: int, width: float | None = None, nested_loop_targets: int = NESTED_LOOP_TARGETS, epsilon: float = 0.0) -> DataFrame:
     """The exact ``k`` nearest targets of each query (all of them, if fewer): query_id, rank, point_id, sq_dist.
 
     Few targets (a checked number) are broadcast. Else queries search the 27 cells
     around them; a query is settled once its k-th distance is at most the cell's
-    width, since everything outside the block is farther. The others search again
-    with cells four times as wide. Queries far from all targets would need ever
-    wider cells: after some rounds those that are left go against all targets in
-    tiles of bounded size.
+    width, since everything outside the block is farther. The others, which are far from
+    most targets, descend a tree of boxes. ``epsilon`` allows a search to stop
+    once its worst squared distance is below it; the exact result is within that too, and is what comes out.
     """
+    if epsilon < 0:
+        raise ValueError("epsilon is a squared distance")
     n = targets.limit(nested_loop_targets + 1).count()
     if n <= nested_loop_targets:
         return brute_force_knn(queries, targets, k)
     width = width or _cell_width(targets, k)
-    left, settled = queries.select("point_id", *XYZ), None
-    for _ in range(CELL_ROUNDS):
-        q = _around(_celled(left, width, "query_id", "q"), 27)
-        pairs = q.join(_celled(targets, width, "point_id", "t"), list(_CELL)).select("query_id", "point_id", _distance().alias("sq_dist"))
-        found = cut(_top(pairs, k))
-        done = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("sq_dist").alias("worst"))
-        done = done.where((F.col("n") >= k) & (F.col("worst") <= width * width)).select("query_id")
-        part = found.join(done, "query_id", "left_semi")
-        settled = part if settled is None else settled.union(part)
-        left = cut(left.join(done, left["point_id"] == done["query_id"], "left_anti"))
-        if left.isEmpty():
-            return settled
-        width *= 4.0
-    return settled.union(tiled_knn(left, targets, k))
-
-
-def _tile(k: int):
-    def run(key: tuple, targets: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        t, ids = targets[list(XYZ)].to_numpy(), targets["point_id"].to_numpy()
-        q, names = queries[list(XYZ)].to_numpy(), queries["point_id"].to_numpy()
-        out = []
-        for a in range(0, len(q) if len(t) else 0, 256):
-            dx, dy, dz = (q[a : a + 256, i, None] - t[None, :, i] for i in range(3))
-            d2 = dx * dx + dy * dy + dz * dz
-            worst = np.partition(d2, min(k, len(t)) - 1, axis=1)[:, min(k, len(t)) - 1]
-            for i, (row, w) in enumerate(zip(d2, worst, strict=True)):
-                near = np.flatnonzero(row <= w)
-                near = near[np.lexsort((ids[near], row[near]))[:k]]
-                out.append((np.full(len(near), names[a + i]), ids[near], row[near]))
-        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pd.DataFrame(dict(zip(("query_id", "point_id", "sq_dist"), columns, strict=True)))
+    all_queries = queries.select("point_id", *XYZ)
+    q = _around(_celled(all_queries, width, "query_id", "q"), 27)
+    pairs = q.join(_celled(targets, width, "point_id", "t"), list(_CELL)).select("query_id", "point_id", _distance().alias("sq_dist"))
+    found = cut(_top(pairs, k))
+    done = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("sq_dist").alias("worst"))
+    done = done.where((F.col("n") >= k) & (F.col("worst") <= width * width)).select("query_id")
+    settled = found.join(done, "query_id", "left_semi")
+    left = cut(all_queries.join(done, all_queries["point_id"] == done["query_id"], "left_anti"))
+    return settled if left.isEmpty() else settled.union(tree_knn(left, targets, k))
+
+
+def _near_boxes(boxes: np.ndarray, cells: np.ndarray, k: int):
+    """Queries with the coarsest boxes that may hold one of their ``k`` nearest; boxes has count, lows and highs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, low, high = boxes[:, 0], boxes[:, 1:4], boxes[:, 4:7]
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            q = np.stack([batch.column(i + 1).to_numpy() for i in range(3)], axis=1)
+            for a in range(0, len(ids), 256):
+                own = q[a : a + 256, None, :]
+                near = np.maximum(np.maximum(low[None] - own, own - high[None]), 0.0)
+                far = np.maximum(np.abs(own - low[None]), np.abs(own - high[None]))
+                least, most = (d[:, :, 0] * d[:, :, 0] + d[:, :, 1] * d[:, :, 1] + d[:, :, 2] * d[:, :, 2] for d in (near, far))
+                order = np.argsort(most, axis=1)
+                held = np.cumsum(count[order], axis=1) >= k
+                at = np.where(held.any(axis=1), held.argmax(axis=1), len(count) - 1)
+                bound = np.take_along_axis(most, np.take_along_axis(order, at[:, None], axis=1), axis=1)
+                i, j = np.nonzero(least <= bound)
+                columns = [ids[a + i], *(q[a + i, c] for c in range(3)), *(cells[j, c] for c in range(3))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["query_id", "qx", "qy", "qz", *_CELL])
 
     return run
 
 
-def tiled_knn(queries: DataFrame, targets: DataFrame, k: int, tile_targets: int = TILE_TARGETS, tile_queries: int = TILE_QUERIES) -> DataFrame:
-    """Every query against every target, in tiles that a task can hold; each tile gives its k best."""
-    rows, columns = (max(1, -(-df.count() // n)) for df, n in ((targets, tile_targets), (queries, tile_queries)))
+def tree_knn(queries: DataFrame, targets: DataFrame, k: int, fine_width: float | None = None) -> DataFrame:
+    """The exact ``k`` nearest of queries that may be anywhere, by a tree of boxes that is descended level by level.
 
-    def dealt(df: DataFrame, own: str, parts: int, other: str, copies: int) -> DataFrame:
-        part = F.pmod(F.xxhash64("point_id"), F.lit(parts)).cast("int").alias(own)
-        return df.select("point_id", *XYZ, part, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias(other))
-
-    t, q = dealt(targets, "i", rows, "j", columns), dealt(queries, "j", columns, "i", rows)
-    found = t.groupBy("i", "j").cogroup(q.groupBy("i", "j")).applyInPandas(_tile(k), "query_id long, point_id long, sq_dist double")
-    return _top(found, k)
+    A level's boxes have their count and the bounds of their points. A query goes on to the
+    boxes whose least distance is at most the greatest distance of those that are sure to
+    hold ``k`` points. The coarsest level has at most (COARSE_BOXES + 1) ** 3 boxes, which every task
+    gets; further levels are joined on the parent's cell, and the points on the finest.
+    """
+    sides = targets.agg(*(F.max(c) - F.min(c) for c in XYZ)).first()
+    fine = fine_width or _cell_width(targets, max(k, 8 * FINE_POINTS))
+    levels = 0
+    while max(s or 0.0 for s in sides) > COARSE_BOXES * fine * 4.0**levels:
+        levels += 1
+    cells = [c.alias(n) for c, n in zip(voxel_coords(fine), _CELL, strict=True)]
+    points = targets.select("point_id", *(F.col(c).alias("t" + c) for c in XYZ), *cells)
+    bounds = [F.min("t" + c).alias("lo" + c) for c in XYZ] + [F.max("t" + c).alias("hi" + c) for c in XYZ]
+    finest = cut(points.groupBy(*_CELL).agg(F.count(F.lit(1)).alias("n"), *bounds))
+
+    def level(up: int) -> DataFrame:
+        """The boxes so many levels above the finest."""
+        wide = [F.shiftright(c, 2 * up).alias(c) for c in _CELL]
+        out = finest.select(*wide, "n", *(p + c for p in ("lo", "hi") for c in XYZ)).groupBy(*_CELL)
+        return out.agg(F.sum("n").alias("n"), *(F.min("lo" + c).alias("lo" + c) for c in XYZ), *(F.max("hi" + c).alias("hi" + c) for c in XYZ))
+
+    coarsest = level(levels).toPandas()
+    boxes = coarsest[["n", *(p + c for p in ("lo", "hi") for c in XYZ)]].to_numpy(np.float64)
+    asked = queries.select(F.col("point_id").alias("query_id"), *(F.col(c).alias("q" + c) for c in XYZ))
+    kept = asked.mapInArrow(_near_boxes(boxes, coarsest[list(_CELL)].to_numpy(np.int64), k), "query_id long, qx double, qy double, qz double, cx long, cy long, cz long")
+    own = Window.partitionBy("query_id")
+    for up in range(levels - 1, -1, -1):
+        below = level(up).select(*(F.col(c).alias("d" + c) for c in _CELL), *(F.shiftright(c, 2).alias(c) for c in _CELL), "n", *(p + c for p in ("lo", "hi") for c in XYZ))
+        near = [F.greatest(F.col("lo" + c) - F.col("q" + c), F.col("q" + c) - F.col("hi" + c), F.lit(0.0)) for c in XYZ]
+        far = [F.greatest(F.abs(F.col("q" + c) - F.col("lo" + c)), F.abs(F.col("q" + c) - F.col("hi" + c))) for c in XYZ]
+        both = kept.join(below, list(_CELL)).withColumn("least", near[0] * near[0] + near[1] * near[1] + near[2] * near[2])
+        both = both.withColumn("most", far[0] * far[0] + far[1] * far[1] + far[2] * far[2])
+        sure = F.sum("n").over(own.orderBy("most").rowsBetween(Window.unboundedPreceding, 0))
+        both = both.withColumn("sure", sure).withColumn("bound", F.min(F.when(F.col("sure") >= k, F.col("most"))).over(own))
+        both = both.where("bound IS NULL OR least <= bound")
+        kept = both.select("query_id", *("q" + c for c in XYZ), *(F.col("d" + c).alias(c) for c in _CELL))
+    pairs = kept.join(points, list(_CELL)).select("query_id", "point_id", _distance().alias("sq_dist"))
+    return _top(pairs, k)
+
+
+def nearest_to(targets: DataFrame, point: Sequence[float], k: int = 1) -> DataFrame:
+    """The ``k`` nearest targets of one point, without a join: rank, point_id, sq_dist."""
+    at = [F.lit(float(c)) for c in point]
+    order = ("sq_dist", "point_id")
+    found = targets.select("point_id", sq_dist(at, [F.col(c) for c in XYZ]).alias("sq_dist")).orderBy(*order).limit(k)
+    return found.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), *("point_id", "sq_dist"))  # k rows
 
 
 def nearest(queries: DataFrame, targets: DataFrame, **how) -> DataFrame:
@@ -208,14 +245,31 @@ def projective_knn(
     """Nearest points among the pixels around a query's own; an approximation."""
     raster = index_map(points, width, height, project)
     u, v = project()
-    q = queries.select(F.col("point_id").alias("query_id"), *(F.col(c).alias("q" + c) for c in XYZ), (u * width).cast("int").alias("u0"), (v * height).cast("int").alias("v0"))
-    q = q.withColumn("du", F.explode(F.sequence(F.lit(-window[0]), F.lit(window[0])))).withColumn("dv", F.explode(F.sequence(F.lit(-window[1]), F.lit(window[1]))))
-    q = q.withColumn("u", border_u(F.col("u0") + F.col("du"), width)).withColumn("v", border_v(F.col("v0") + F.col("dv"), height))
-    t = raster.select("u", "v", "point_id", *(F.col(c).alias("t" + c) for c in XYZ))
-    return _top(q.join(t, ["u", "v"]).select("query_id", "point_id", _distance().alias("sq_dist")), k)
+    pixel = [(u * width).cast("int").alias("u0"), (v * height).cast("int").alias("v0")]
+    q = queries.select(F.col("point_id").alias("query_id"), *(F.col(c).alias("q" + c) for c in XYZ), *pixel)
+    # pixels lie in tiles as large as the window, so that a query visits few tiles instead of every pixel
+    tile = [2 * w + 1 for w in window]
+
+    def around(at: str, w: int, border: Callable, size: int) -> Column:
+        return F.transform(F.sequence(F.lit(-w), F.lit(w)), lambda d: border(F.col(at) + d, size))
+
+    def tiles(pixels: str, size: int) -> Column:
+        return F.explode(F.array_distinct(F.transform(pixels, lambda x: F.floor(x / F.lit(size)))))
+
+    q = q.withColumn("us", around("u0", window[0], border_u, width)).withColumn("vs", around("v0", window[1], border_v, height))
+    q = q.withColumn("tu", tiles("us", tile[0])).withColumn("tv", tiles("vs", tile[1]))
+    corner = [F.floor(F.col(c) / F.lit(size)).alias(n) for c, size, n in zip("uv", tile, ("tu", "tv"), strict=True)]
+    t = raster.select("u", "v", *corner, "point_id", *(F.col(c).alias("t" + c) for c in XYZ))
+    met = q.join(t, ["tu", "tv"]).where(F.array_contains("us", F.col("u")) & F.array_contains("vs", F.col("v")))
+    return _top(met.select("query_id", "point_id", _distance().alias("sq_dist")), k)
 
 
 def frame_pairs(frames: DataFrame, frame: str = "frame_id", by: tuple[str, ...] = ()) -> DataFrame:
     """Each frame with the one before it in order: ``frame``, ``previous``."""
-    order = Window.partitionBy(*by).orderBy(frame)
-    return frames.select(*by, frame).distinct().withColumn("previous", F.lag(frame).over(order)).where("previous IS NOT NULL")
+    ids = frames.select(*by, frame).distinct()
+    if by:
+        order = Window.partitionBy(*by).orderBy(frame)
+        return ids.withColumn("previous", F.lag(frame).over(order)).where("previous IS NOT NULL")
+    rows = numbered(ids, [frame], "at")
+    before = rows.select(F.col(frame).alias("previous"), (F.col("at") + 1).alias("at"))
+    return rows.join(before, "at").select(frame, "previous")

@@ -8,6 +8,8 @@ sums give H, b and e at any pose.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 from pointloom.functions.lie import skew
@@ -29,6 +31,14 @@ def cauchy_weight(x: np.ndarray, c: float = 1.0) -> np.ndarray:
 WEIGHTS = {"huber": huber_weight, "cauchy": cauchy_weight}
 
 
+def weight_of(kernel: str | Callable[[np.ndarray, float], np.ndarray] | None, width: float = 1.0) -> Callable[[np.ndarray], np.ndarray] | None:
+    """The weight as a function of the error: of a kernel by name, or one's own function of (errors, width)."""
+    if kernel is None:
+        return None
+    weight = kernel if callable(kernel) else WEIGHTS[kernel]
+    return lambda x: weight(x, width)
+
+
 def statistics(p: np.ndarray, q: np.ndarray, m: np.ndarray) -> np.ndarray:
     """The sums of points p, q (n x 3) under matrices m (n x 3 x 3)."""
     h = np.concatenate([p, np.ones((len(p), 1))], axis=1)

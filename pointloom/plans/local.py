@@ -9,28 +9,115 @@ from __future__ import annotations
 import numpy as np
 
 from pointloom.operators.features import normals_of, regularised_covs
-from pointloom.plans.kernels import N_STATS, WEIGHTS, Quadratic, direct, matrices, statistics
+from pointloom.plans.kernels import N_STATS, Quadratic, direct, matrices, statistics, weight_of
 from pointloom.plans.optimize import GaussNewton, LevenbergMarquardt, NullFactor, RegistrationResult, TerminationCriteria
 
-_BLOCK = 4_000_000
+#: Few targets are searched directly, and distances are held in blocks of so many.
+_DIRECT, _BLOCK = 64, 2_000_000
 
 
-def knn(queries: np.ndarray, targets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and squared distances, nearest first, ties to the smaller index; at most as many as there are targets."""
-    k = min(k, len(targets))
+def _direct(queries: np.ndarray, targets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     idx, d2 = np.zeros((len(queries), k), np.int64), np.zeros((len(queries), k))
     step = max(1, _BLOCK // max(len(targets), 1))
     for a in range(0, len(queries), step):
-        q = queries[a : a + step]
-        d = ((q[:, None, :] - targets[None, :, :]) ** 2).sum(axis=2)
-        if k == 1:
-            best = d.argmin(axis=1)[:, None]
-        else:
-            best = np.argsort(d, axis=1, kind="stable")[:, :k]
+        d = ((queries[a : a + step, None, :] - targets[None, :, :]) ** 2).sum(axis=2)
+        best = np.argsort(d, axis=1, kind="stable")[:, :k]
         idx[a : a + step], d2[a : a + step] = best, np.take_along_axis(d, best, axis=1)
     return idx, d2
 
 
+class Grid:
+    """An index of points by cells, exact for any query.
+
+    The points of the 27 cells around a query are ranges of a sorted array. A query is
+    settled once its k-th distance is at most the cells' width, since all else is farther;
+    the others go on with cells of four times the width, kept for the next search.
+    """
+
+    def __init__(self, targets: np.ndarray, points_per_cell: float = 4.0):
+        self.targets = targets
+        self.low = targets.min(axis=0) if len(targets) else np.zeros(3)
+        sides = targets.max(axis=0) - self.low if len(targets) else np.zeros(3)
+        longest = max(float(sides.max()), 1e-12)
+        volume = float(np.prod(np.maximum(sides, longest * 1e-2)))
+        self.longest = longest
+        self.width = max((volume * points_per_cell / max(len(targets), 1)) ** (1 / 3), longest * 1e-5)
+        self.levels: list[tuple] = []
+
+    def _level(self, i: int) -> tuple:
+        """Width, cells along the axes, sorted keys and the points in their order."""
+        while len(self.levels) <= i:
+            width = self.width * 4.0 ** len(self.levels)
+            cells = np.floor((self.targets - self.low) / width).astype(np.int64)
+            size = cells.max(axis=0) + 1
+            keys = (cells[:, 2] * size[1] + cells[:, 1]) * size[0] + cells[:, 0]
+            order = np.argsort(keys, kind="stable")
+            self.levels.append((width, size, keys[order], order))
+        return self.levels[i]
+
+    def search(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Indices and squared distances, nearest first, ties to the smaller index."""
+        k = min(k, len(self.targets))
+        idx, d2 = np.zeros((len(queries), k), np.int64), np.full((len(queries), k), np.inf)
+        left, level = np.arange(len(queries)), 0
+        while len(left) and k:
+            width, size, _, _ = self._level(level)
+            if (size <= 2).all() or len(self.targets) <= _DIRECT:  # every cell is a neighbour: all points
+                idx[left], d2[left] = _direct(queries[left], self.targets, k)
+                break
+            rest, step = [], 4096
+            for a in range(0, len(left), step):
+                rest.append(self._near(queries, left[a : a + step], k, level, idx, d2))
+            left, level = np.concatenate(rest), level + 1
+        return idx, d2
+
+    def _near(self, queries: np.ndarray, own: np.ndarray, k: int, level: int, idx: np.ndarray, d2: np.ndarray) -> np.ndarray:
+        """Settle those of ``own`` that find their ``k`` nearest around them; the others come back."""
+        width, size, keys, order = self._level(level)
+        at = np.floor((queries[own] - self.low) / width)
+        at = np.clip(at, -2, size + 1).astype(np.int64)  # farther out there is nothing anyway
+        who, start, length = [], [], []
+        for dz in (-1, 0, 1):
+            for dy in (-1, 0, 1):
+                y, z = at[:, 1] + dy, at[:, 2] + dz
+                lo, hi = np.maximum(at[:, 0] - 1, 0), np.minimum(at[:, 0] + 1, size[0] - 1)
+                some = np.flatnonzero((y >= 0) & (y < size[1]) & (z >= 0) & (z < size[2]) & (lo <= hi))
+                row = (z[some] * size[1] + y[some]) * size[0]  # three cells along x are one range
+                first = np.searchsorted(keys, row + lo[some], side="left")
+                who.append(some)
+                start.append(first)
+                length.append(np.searchsorted(keys, row + hi[some], side="right") - first)
+        who, start, length = (np.concatenate(x) for x in (who, start, length))
+        by = np.argsort(who, kind="stable")
+        who, start, length = who[by], start[by], length[by]
+        n = np.bincount(who, length, len(own)).astype(np.int64)
+        settled = np.zeros(len(own), bool)
+        ends = np.cumsum(n)
+        for a in range(0, len(own), 512):  # pairs of some queries at a time
+            b = min(a + 512, len(own))
+            part = slice(*np.searchsorted(who, (a, b)))
+            q = np.repeat(who[part], length[part])
+            if not len(q):
+                continue
+            offset = np.arange(len(q)) - np.repeat(np.cumsum(length[part]) - length[part], length[part])
+            t = order[np.repeat(start[part], length[part]) + offset]
+            d = ((queries[own[q]] - self.targets[t]) ** 2).sum(axis=1)
+            rank = np.lexsort((t, d, q))
+            first = ends[a:b] - n[a:b] - (ends[a] - n[a])
+            enough = np.flatnonzero(n[a:b] >= k)
+            best = rank[first[enough, None] + np.arange(k)]
+            done = d[best[:, -1]] <= width * width * (1 - 1e-12)
+            rows = own[a + enough[done]]
+            idx[rows], d2[rows] = t[best[done]], d[best[done]]
+            settled[a + enough[done]] = True
+        return own[~settled]
+
+
+def knn(queries: np.ndarray, targets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices and squared distances, nearest first, ties to the smaller index; at most as many as there are targets."""
+    return Grid(targets).search(queries, k)
+
+
 def voxel_means(points: np.ndarray, leaf: float) -> np.ndarray:
     cells = np.floor(points * (1.0 / leaf)).astype(np.int64)
     fine = ((cells >= -(1 << 20)) & (cells < (1 << 20))).all(axis=1)
@@ -57,20 +144,21 @@ class CloudTarget:
 
     def __init__(self, points: np.ndarray, normals: np.ndarray, covs: np.ndarray):
         self.points, self.normals, self.covs = points, normals, covs
+        self.index = Grid(points)
 
     def match(self, moved: np.ndarray, max_sq: float) -> tuple[np.ndarray, np.ndarray]:
         """Source and target indices of the pairs that are near enough."""
         if not len(self.points):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        idx, d2 = knn(moved, self.points, 1)
+        idx, d2 = self.index.search(moved, 1)
         near = np.flatnonzero(d2[:, 0] <= max_sq)
         return near, idx[near, 0]
 
 
 class LocalProblem:
-    def __init__(self, target, points: np.ndarray, covs: np.ndarray | None, factor: str, max_sq: float, kernel: str | None = None, width: float = 1.0):
+    def __init__(self, target, points: np.ndarray, covs: np.ndarray | None, factor: str, max_sq: float, kernel=None, width: float = 1.0):
         self.target, self.points, self.covs, self.factor, self.max_sq = target, points, covs, factor, max_sq
-        self.weight = (lambda x: WEIGHTS[kernel](x, width)) if kernel else None
+        self.weight = weight_of(kernel, width)
 
     def linearize(self, t):
         s, g = self.target.match(self.points @ t[:3, :3].T + t[:3, 3], self.max_sq)
@@ -96,7 +184,7 @@ def register(
     factor: str = "gicp",
     init: np.ndarray | None = None,
     max_distance: float = 1.0,
-    kernel: str | None = None,
+    kernel=None,
     optimizer: GaussNewton | LevenbergMarquardt | None = None,
     criteria: TerminationCriteria | None = None,
     general: NullFactor | None = None,

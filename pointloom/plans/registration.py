@@ -24,7 +24,7 @@ from pointloom.operators.features import estimate_normals_covariances
 from pointloom.operators.neighbors import _CELL, _around, knn
 from pointloom.operators.sampling import voxel_grid
 from pointloom.operators.voxelmap import gaussian_voxelmap
-from pointloom.plans.kernels import N_STATS, WEIGHTS, Quadratic, direct, statistics
+from pointloom.plans.kernels import N_STATS, Quadratic, direct, statistics, weight_of
 from pointloom.plans.optimize import GaussNewton, LevenbergMarquardt, NullFactor, RegistrationResult, TerminationCriteria
 from pointloom.schema import COV, COV_AT, NORMAL, XYZ, require
 
@@ -74,7 +74,8 @@ def correspondences(
         near = moved.join(laid, list(_CELL)).withColumn("sq_dist", distance).where(F.col("sq_dist") <= max_distance * max_distance)
         sides = [F.first(c).alias(c) for c in near.columns if c.startswith("s_")]
         best = F.min(F.struct("sq_dist", "target_id", *(c for c in laid.columns if c.startswith("t_")))).alias("b")
-        pairs = near.groupBy("source_id").agg(*sides, best).select("source_id", *(c for c in near.columns if c.startswith("s_")), "b.*")
+        # with the cell among the keys, the join's partitioning serves the aggregate too
+        pairs = near.groupBy(*_CELL, "source_id").agg(*sides, best).select("source_id", *(c for c in near.columns if c.startswith("s_")), "b.*")
     if reject is not None:
         pairs = pairs.where(~reject)
     return _with_matrix(pairs, t, factor)
@@ -133,13 +134,13 @@ def voxel_correspondences(voxels: DataFrame, source: DataFrame, t: np.ndarray, l
 _LINSYS = [*(f"h{a}{b}" for a in range(6) for b in range(a, 6)), *(f"b{a}" for a in range(6)), "e", "n_inliers"]
 
 
-def linear_system(pairs: DataFrame, t: np.ndarray, kernel: str | None = None, width: float = 1.0) -> DataFrame:
+def linear_system(pairs: DataFrame, t: np.ndarray, kernel: str | Callable | None = None, width: float = 1.0) -> DataFrame:
     """One row of sums at a pose: h00 .. h55 (upper part), b0 .. b5, e and n_inliers.
 
     Tasks sum their Arrow batches; the final aggregate adds one row a task. (The same
     as 29 sums of column expressions makes generated code that is too large to compile.)
     """
-    weight = (lambda x: WEIGHTS[kernel](x, width)) if kernel else None
+    weight = weight_of(kernel, width)
     upper = np.triu_indices(6)
 
     def sums(p: np.ndarray, q: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -150,6 +151,16 @@ def linear_system(pairs: DataFrame, t: np.ndarray, kernel: str | None = None, wi
     return parts.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in _LINSYS]).withColumn("n_inliers", F.col("n_inliers").cast("long"))
 
 
+def linearize_point(target: DataFrame, source: DataFrame, t: np.ndarray, source_id: int, factor: str | Callable = "gicp", max_distance: float | None = 1.0) -> tuple[bool, np.ndarray, np.ndarray, float]:
+    """Whether the one point has a neighbour, and its own H, b and e."""
+    row = linear_system(correspondences(target, source.where(F.col("point_id") == source_id), t, factor, max_distance), t).first()
+    h = np.zeros((6, 6))
+    for a in range(6):
+        for b in range(a, 6):
+            h[a, b] = h[b, a] = row[f"h{a}{b}"]
+    return row["n_inliers"] > 0, h, np.array([row[f"b{a}"] for a in range(6)]), row["e"]
+
+
 def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     def get(names):
         return np.stack([batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names], axis=1)
@@ -193,14 +204,14 @@ class _Plain:
 
 
 class _Robust:
-    def __init__(self, pairs_at: Callable[[np.ndarray], DataFrame], kernel: str, width: float):
+    def __init__(self, pairs_at: Callable[[np.ndarray], DataFrame], kernel: str | Callable, width: float):
         self.pairs_at, self.kernel, self.width, self.pairs = pairs_at, kernel, width, None
 
     def _direct(self, t: np.ndarray) -> np.ndarray:
-        kernel, width = WEIGHTS[self.kernel], self.width
+        weight = weight_of(self.kernel, self.width)
 
         def f(p, q, m):
-            h, b, e = direct(p, q, m, t, lambda x: kernel(x, width))
+            h, b, e = direct(p, q, m, t, weight)
             return np.concatenate([h.ravel(), b, [e, len(p)]])
 
         return _sums(self.pairs, 44, f)
@@ -221,12 +232,13 @@ class Registration:
     """A configured registration; ``align`` runs it.
 
     ``search`` replaces the nearest-neighbour search: a function of (queries,
-    targets) that returns query_id, point_id and sq_dist.
+    targets) that returns query_id, point_id and sq_dist. ``kernel`` is a name or a function of
+    (errors, width) that gives weights.
     """
 
     factor: str | Callable = "gicp"
     max_distance: float | None = 1.0
-    kernel: str | None = None
+    kernel: str | Callable | None = None
     kernel_width: float = 1.0
     reject: Column | None = None
     optimizer: GaussNewton | LevenbergMarquardt = field(default_factory=LevenbergMarquardt)

@@ -14,7 +14,7 @@ from pointloom.functions.lie import inverse, se3_exp
 from pointloom.operators import features, neighbors, sampling, voxelmap
 from pointloom.plans import odometry
 from pointloom.plans.optimize import GaussNewton, RestrictDoF
-from pointloom.plans.registration import Registration, RegistrationSession, correspondences, linear_system, relative_pose_error, voxel_correspondences
+from pointloom.plans.registration import Registration, RegistrationSession, correspondences, linear_system, voxel_correspondences
 from pointloom.schema import COV, COV_AT, NORMAL, XYZ
 from pointloom.sources import files
 
@@ -34,7 +34,7 @@ def query(sql: str | None = None, *names: str):
         QUERIES[f.__name__] = f
         if sql is not None:
             parts = ", ".join(f"{n} AS ({clouds.SQL[n]})" for n in names)
-            ORACLES[f.__name__] = (f"WITH {parts}{', ' if not sql.lstrip().upper().startswith('SELECT') else ' '}" if parts else "") + sql.strip()
+            ORACLES[f.__name__] = (f"WITH {'RECURSIVE ' * ('UNION ALL' in sql)}{parts}{', ' if not sql.lstrip().upper().startswith('SELECT') else ' '}" if parts else "") + sql.strip()
         return f
 
     return put
@@ -183,11 +183,26 @@ def equirectangular(spark, sf_dir):
     return rounded(clouds.embeddings(spark, sf_dir).select("point_id", u.alias("u"), v.alias("v")))
 
 
-@query("SELECT count(*) AS n FROM pc_orders WHERE isfinite(x) AND isfinite(y) AND isfinite(z)", "pc_orders")
+#: Every seventh point without a first coordinate, and others infinite or missing in the next ones.
+_HOLES = """holes AS (SELECT point_id, CASE point_id % 7 WHEN 0 THEN CAST('nan' AS DOUBLE) WHEN 1 THEN CAST('inf' AS DOUBLE) ELSE x END AS x,
+ CASE point_id % 11 WHEN 0 THEN CAST('-inf' AS DOUBLE) WHEN 1 THEN NULL ELSE y END AS y, CASE point_id % 13 WHEN 0 THEN CAST('nan' AS DOUBLE) ELSE z END AS z FROM pc_orders)"""
+
+
+@query(_HOLES + " SELECT point_id, " + ", ".join(rnd(c, c) for c in XYZ) + " FROM holes WHERE isfinite(x) AND isfinite(y) AND isfinite(z)", "pc_orders")
 def finite_points(spark, sf_dir):
     from pointloom.schema import finite
 
-    return finite(clouds.orders(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n"))
+    def left(n: int) -> Column:
+        return F.pmod(F.col("point_id"), F.lit(n))
+
+    nan, inf = F.lit(float("nan")), F.lit(float("inf"))
+    df = clouds.orders(spark, sf_dir).select(
+        "point_id",
+        F.when(left(7) == 0, nan).when(left(7) == 1, inf).otherwise(F.col("x")).alias("x"),
+        F.when(left(11) == 0, -inf).when(left(11) == 1, F.lit(None)).otherwise(F.col("y")).alias("y"),
+        F.when(left(13) == 0, nan).otherwise(F.col("z")).alias("z"),
+    )
+    return rounded(finite(df))
 
 
 # --- downsampling -----------------------------------------------------------------
@@ -484,6 +499,13 @@ def float4_sizes(spark, sf_dir):
     return files.float4_files(clouds.frames(spark, sf_dir)).select("frame_id", F.length("content").cast("long").alias("size"))
 
 
+@query("SELECT frame_id, row_number() OVER (PARTITION BY frame_id ORDER BY point_id) - 1 AS point_id, CAST(CAST(x AS FLOAT) AS DOUBLE) AS x, CAST(CAST(y AS FLOAT) AS DOUBLE) AS y, CAST(CAST(z AS FLOAT) AS DOUBLE) AS z FROM pc_frames", "pc_frames")
+def float4_content(spark, sf_dir):
+    """The files' contents, read back."""
+    written = files.float4_files(clouds.frames(spark, sf_dir)).select(F.col("frame_id").cast("string").alias("path"), "content")
+    return files.decoded_float4(written).select(F.col("path").cast("long").alias("frame_id"), "point_id", *XYZ)
+
+
 @query(
     """both_ AS (SELECT a.frame_id, avg(a.x) AS x, avg(a.y) AS y, avg(a.z) AS z FROM pc_frames a GROUP BY 1)
 SELECT CAST(0 AS BIGINT) AS sensor_id, round(sqrt(avg(e * e)), 6) AS rmse, round(stddev_pop(e), 6) AS std, count(*) AS n
@@ -503,7 +525,7 @@ def trajectory_error(spark, sf_dir):
 
 # --- registrations with a known answer --------------------------------------------
 
-_FOUND = "SELECT true AS rotation_found, true AS translation_found, true AS converged"
+_DIGITS = 2
 
 
 def _pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -511,44 +533,56 @@ def _pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return target, _moved(target, inverse(SMALL_POSE))
 
 
-def _verdict(spark: SparkSession, pose: np.ndarray, converged: bool) -> DataFrame:
-    turn, shift = relative_pose_error(SMALL_POSE, pose)
-    return spark.createDataFrame([(turn < 0.01, shift < 0.02, converged)], "rotation_found boolean, translation_found boolean, converged boolean")
+#: The pose that must be found, and how far the source's points then are from their own in the target: recomputed from the points.
+_BACK = point_sql(SMALL_POSE, tuple(f"m.{c}" for c in XYZ))
+_FOUND = f"""moved AS {_moved_sql("pc_emb", inverse(SMALL_POSE))}
+SELECT {", ".join(rnd(num(float(SMALL_POSE[i, j])), f"t{i}{j}", _DIGITS) for i in range(3) for j in range(4))}, true AS converged,
+ {rnd("sqrt(avg(" + " + ".join(f"({e} - t.{c}) * ({e} - t.{c})" for e, c in zip(_BACK, XYZ, strict=True)) + "))", "rms", _DIGITS)}, count(*) AS n
+FROM moved m JOIN pc_emb t USING (point_id)"""
+
+
+def _verdict(target: DataFrame, source: DataFrame, pose: np.ndarray, converged: bool) -> DataFrame:
+    """The pose's twelve numbers, and the distance over all points of the pair."""
+    at = _moved(source.select("point_id", *XYZ), pose).select("point_id", *(F.col(c).alias("m" + c) for c in XYZ))
+    d2 = expr.sq_dist([F.col("m" + c) for c in XYZ], expr.columns())
+    out = at.join(target.select("point_id", *XYZ), "point_id").agg(F.sqrt(F.avg(d2)).alias("rms"), F.count(F.lit(1)).alias("n"))
+    numbers = [F.lit(float(pose[i, j])).alias(f"t{i}{j}") for i in range(3) for j in range(4)]
+    return rounded(out.select(*numbers, F.lit(bool(converged)).alias("converged"), "rms", "n"), _DIGITS)
 
 
 def _align(name: str, factor: str, **how) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        target, source = _pair(spark, sf_dir)
+        target, source = plain = _pair(spark, sf_dir)
         if factor != "icp":
             target = features.estimate_normals_covariances(target, 10).persist()
             source = features.estimate_normals_covariances(source, 10).persist()
         if factor == "vgicp":
             target = voxelmap.gaussian_voxelmap(target, 0.5)
         out = Registration(factor, 1.0, voxel_leaf=0.5, **how).align(target, source)
-        return _verdict(spark, out.T, out.converged)
+        return _verdict(*plain, out.T, out.converged)
 
     run.__name__ = name
     return run
 
 
-query(_FOUND)(_align("align_icp", "icp"))
-query(_FOUND)(_align("align_plane", "plane"))
-query(_FOUND)(_align("align_gicp", "gicp"))
-query(_FOUND)(_align("align_vgicp", "vgicp"))
-query(_FOUND)(_align("align_huber", "icp", kernel="huber"))
-query(_FOUND)(_align("align_gauss_newton", "gicp", optimizer=GaussNewton()))
+query(_FOUND, "pc_emb")(_align("align_icp", "icp"))
+query(_FOUND, "pc_emb")(_align("align_plane", "plane"))
+query(_FOUND, "pc_emb")(_align("align_gicp", "gicp"))
+query(_FOUND, "pc_emb")(_align("align_vgicp", "vgicp"))
+query(_FOUND, "pc_emb")(_align("align_huber", "icp", kernel="huber"))
+query(_FOUND, "pc_emb")(_align("align_gauss_newton", "gicp", optimizer=GaussNewton()))
 
 
-@query("SELECT true AS held, true AS others_moved")
+@query("SELECT " + ", ".join(rnd(num(float(i == j)), f"r{i}{j}") for i in range(3) for j in range(3)) + ", true AS moved")
 def restrict_dof(spark, sf_dir):
     """Rotations are held: the pose found is a pure translation."""
     target, source = _pair(spark, sf_dir)
     out = Registration("icp", 1.0, general=RestrictDoF((0.0, 0.0, 0.0, 1.0, 1.0, 1.0))).align(target, source)
-    turn, shift = relative_pose_error(np.eye(4), out.T)
-    return spark.createDataFrame([(turn < 1e-4, shift > 0.01)], "held boolean, others_moved boolean")
+    numbers = {f"r{i}{j}": round(float(out.T[i, j]), 6) + 0.0 for i in range(3) for j in range(3)}
+    return spark.range(1).select(*(F.lit(v).alias(k) for k, v in numbers.items()), F.lit(bool(np.linalg.norm(out.T[:3, 3]) > 0.01)).alias("moved"))
 
 
-@query(_FOUND)
+@query(_FOUND, "pc_emb")
 def session_swap(spark, sf_dir):
     target, source = _pair(spark, sf_dir)
     session = RegistrationSession(max_distance=1.0, num_neighbors=10)
@@ -556,47 +590,129 @@ def session_swap(spark, sf_dir):
     session.set_source(target)
     session.swap()
     out = session.align()
-    return _verdict(spark, out.T, out.converged)
+    return _verdict(target, source, out.T, out.converged)
+
+
+_MAP_FOUND = _FOUND.replace("moved AS", f"cells AS (SELECT row_number() OVER (ORDER BY vx, vy, vz) - 1 AS point_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM {voxelled_sql('pc_emb', 0.5)} GROUP BY vx, vy, vz), moved AS").replace("FROM pc_emb)", "FROM cells)").replace("JOIN pc_emb t", "JOIN cells t")
+
+
+@query(_MAP_FOUND.replace(voxelled_sql("cells", 0.5), voxelled_sql("pc_emb", 0.5)), "pc_emb")
+def align_map_source(spark, sf_dir):
+    """A voxel map as the source: its means are aligned as points."""
+    cells = voxelmap.map_cloud(voxelmap.gaussian_voxelmap(clouds.embeddings(spark, sf_dir).select("point_id", *XYZ), 0.5)).select("point_id", *XYZ)
+    source = _moved(cells, inverse(SMALL_POSE))
+    out = Registration("icp", 1.0).align(cells, source)
+    return _verdict(cells, source, out.T, out.converged)
+
+
+# --- features up to sign, order-dependent folds, odometry ---------------------------
+
+
+def smallest_eigenvalue_sql(c: tuple[str, ...]) -> str:
+    """The least eigenvalue of a symmetric 3 x 3 matrix, in closed form."""
+    xx, xy, xz, yy, yz, zz = c
+    q = f"(({xx} + {yy} + {zz}) / 3)"
+    p = f"sqrt((({xx} - {q}) * ({xx} - {q}) + ({yy} - {q}) * ({yy} - {q}) + ({zz} - {q}) * ({zz} - {q}) + 2 * ({xy} * {xy} + {xz} * {xz} + {yz} * {yz})) / 6)"
+    a, b, d = f"({xx} - {q})", f"({yy} - {q})", f"({zz} - {q})"
+    det = f"({a} * ({b} * {d} - {yz} * {yz}) - {xy} * ({xy} * {d} - {yz} * {xz}) + {xz} * ({xy} * {yz} - {b} * {xz}))"
+    return f"({q} + 2 * {p} * cos(acos(greatest(-1.0, least(1.0, {det} / (2 * {p} * {p} * {p})))) / 3 + 2 * pi() / 3))"
+
 
+_RAW_MOMENTS = f"""nb AS ({knn_sql('pc_emb', 'pc_emb', 20)}),
+moments AS (SELECT query_id AS point_id, {", ".join(f"covar_pop(t.{XYZ[i]}, t.{XYZ[j]}) AS {n}" for n, (i, j) in zip(COV, COV_AT, strict=True))} FROM nb JOIN pc_emb t USING (point_id) GROUP BY query_id)"""
+_TRACE = "cxx + cyy + czz"
 
-# --- without SQL: eigenvectors, order-dependent folds, odometry ---------------------
 
+def _with_moments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    points = clouds.embeddings(spark, sf_dir).select("point_id", *XYZ)
+    near = neighbors.knn(points, points, 20)
+    moments = features.neighborhood_moments(points, 20, near)
+    return points, near, moments.select("point_id", *(F.col(c).alias("m" + c) for c in COV))
 
-@query()
+
+@query(f"{_RAW_MOMENTS} SELECT point_id, {rnd(smallest_eigenvalue_sql(COV), 'along', 4)}, {rnd('1.0', 'length', 6)}, true AS faces_origin FROM moments", "pc_emb")
 def normals(spark, sf_dir):
-    return features.estimate_normals(clouds.embeddings(spark, sf_dir).select("point_id", *XYZ), 20)
+    """Normals by what doesn't depend on their sign: n'Cn is the least eigenvalue, n is a unit vector and faces the origin."""
+    points, near, moments = _with_moments(spark, sf_dir)
+    full = expr.full_cov([F.col("m" + c) for c in COV])
+    n = expr.columns(NORMAL)
+    along = sum((n[i] * full[i][j] * n[j] for i in range(3) for j in range(3)), F.lit(0.0))
+    out = features.estimate_normals(points, 20, near).join(moments, "point_id")
+    out = out.select("point_id", along.alias("along"), F.sqrt(expr.dot(n, n)).alias("length"), (expr.dot(n, expr.columns()) <= 1e-12).alias("faces_origin"))
+    return rounded(rounded(out, 6, "along"), 4, "length")
 
 
-@query()
+@query(
+    f"{_RAW_MOMENTS} SELECT point_id, {rnd('2.001', 'trace')}, {rnd('2.000001', 'square')}, {rnd(f'{_TRACE} - 0.999 * ' + smallest_eigenvalue_sql(COV), 'weighed', 4)} FROM moments",
+    "pc_emb",
+)
 def covariances(spark, sf_dir):
-    return features.estimate_covariances(clouds.embeddings(spark, sf_dir).select("point_id", *XYZ), 20)
+    """Regularised covariances by their trace, sum of squares, and product with the raw moments: eigenvalues 1e-3, 1, 1 and the right axes."""
+    points, near, moments = _with_moments(spark, sf_dir)
+    out = features.estimate_covariances(points, 20, near).join(moments, "point_id")
+    twice = [1.0 if i == j else 2.0 for i, j in COV_AT]
+    square = sum((F.lit(w) * F.col(c) * F.col(c) for w, c in zip(twice, COV, strict=True)), F.lit(0.0))
+    weighed = sum((F.lit(w) * F.col(c) * F.col("m" + c) for w, c in zip(twice, COV, strict=True)), F.lit(0.0))
+    out = out.select("point_id", (F.col("cxx") + F.col("cyy") + F.col("czz")).alias("trace"), square.alias("square"), weighed.alias("weighed"))
+    return rounded(rounded(out, 6, "weighed"), 4, "trace", "square")
 
 
-@query()
+_NEW_POINT = "{'x': o.x, 'y': o.y, 'z': o.z}"
+_FITS = "len(s.kept) < 10 AND len(list_filter(s.kept, lambda p: (p.x - o.x) * (p.x - o.x) + (p.y - o.y) * (p.y - o.y) + (p.z - o.z) * (p.z - o.z) < 0.01)) = 0"
+
+
+@query(
+    f"""rows_ AS (SELECT *, row_number() OVER (PARTITION BY vx, vy, vz ORDER BY point_id) AS i FROM {voxelled_sql("pc_orders", 8.0)}),
+steps AS (
+ SELECT o.vx, o.vy, o.vz, o.i, o.point_id, [{_NEW_POINT}] AS kept, true AS stays, 0 AS slot FROM rows_ o WHERE o.i = 1
+ UNION ALL
+ SELECT o.vx, o.vy, o.vz, o.i, o.point_id, CASE WHEN {_FITS} THEN list_append(s.kept, {_NEW_POINT}) ELSE s.kept END, {_FITS}, len(s.kept)
+ FROM steps s JOIN rows_ o ON o.vx = s.vx AND o.vy = s.vy AND o.vz = s.vz AND o.i = s.i + 1),
+cells AS (SELECT vx, vy, vz, row_number() OVER (ORDER BY vx, vy, vz) - 1 AS voxel_id FROM (SELECT DISTINCT vx, vy, vz FROM rows_))
+SELECT point_id, vx, vy, vz, CAST(slot AS BIGINT) AS slot, CAST(voxel_id AS BIGINT) AS voxel_id, CAST(voxel_id * 4294967296 + slot AS BIGINT) AS global_index
+FROM steps JOIN cells USING (vx, vy, vz) WHERE stays""",
+    "pc_orders",
+)
 def flat_voxelmap(spark, sf_dir):
-    kept = voxelmap.flat_voxelmap(clouds.orders(spark, sf_dir), 1.0)
-    return voxelmap.map_indices(kept)
+    kept = voxelmap.flat_voxelmap(clouds.orders(spark, sf_dir), 8.0)
+    return voxelmap.map_indices(kept).select("point_id", "vx", "vy", "vz", "slot", "voxel_id", "global_index")
+
+
+_WALK_FRAMES = 6
 
 
 def _walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The embedding cloud seen from a sensor that moves a little each frame: six frames."""
+    """The embedding cloud seen from a sensor that moves a little each frame."""
     target = clouds.embeddings(spark, sf_dir).select("point_id", *XYZ)
     out, pose = None, np.eye(4)
-    for k in range(6):
+    for k in range(_WALK_FRAMES):
         frame = _moved(target, inverse(pose)).select(F.lit(0).cast("long").alias("sensor_id"), F.lit(k).cast("long").alias("frame_id"), "point_id", *XYZ)
         out = frame if out is None else out.union(frame)
         pose = pose @ SMALL_POSE
     return out
 
 
-@query()
+def _walk_sql(digits: int) -> str:
+    """The known walk: powers of the small pose."""
+    step = [[num(float(SMALL_POSE[i, j])) for j in range(4)] for i in range(3)]
+    times = [" + ".join([f"m{i}{a} * {step[a][j]}" for a in range(3)] + ([f"m{i}3"] if j == 3 else [])) for i in range(3) for j in range(4)]
+    start = ", ".join(f"{num(float(i == j))} AS m{i}{j}" for i in range(3) for j in range(4))
+    return f"""walk AS (SELECT 0 AS k, {start} UNION ALL SELECT k + 1, {", ".join(times)} FROM walk WHERE k < {_WALK_FRAMES - 1})
+SELECT CAST(0 AS BIGINT) AS sensor_id, CAST(k AS BIGINT) AS frame_id, {", ".join(rnd(f"m{i}{j}", f"t{i}{j}", digits) for i in range(3) for j in range(4))} FROM walk"""
+
+
+def _walked(poses: DataFrame, digits: int) -> DataFrame:
+    return rounded(poses.select("sensor_id", "frame_id", *(F.element_at("pose", 4 * i + j + 1).alias(f"t{i}{j}") for i in range(3) for j in range(4))), digits)
+
+
+@query("WITH RECURSIVE " + _walk_sql(2))
 def odometry_s2s(spark, sf_dir):
-    return odometry.run(_walk(spark, sf_dir), "gicp")
+    return _walked(odometry.run(_walk(spark, sf_dir), "gicp", leaf=0.01), 2)
 
 
-@query()
+@query("WITH RECURSIVE " + _walk_sql(1))
 def odometry_s2m(spark, sf_dir):
-    return odometry.run(_walk(spark, sf_dir), "vgicp_model", voxel=0.5)
+    return _walked(odometry.run(_walk(spark, sf_dir), "vgicp_model", leaf=0.01, voxel=0.5), 1)
 
 
 def queries() -> dict[str, Query]:

@@ -53,6 +53,23 @@ def point_at(df: DataFrame, point_id: int) -> DataFrame:
     return df.where(F.col("point_id") == point_id)
 
 
+def normal_at(df: DataFrame, point_id: int) -> np.ndarray | None:
+    """The normal of one point, or None if there is no such point."""
+    row = point_at(df, point_id).select(*NORMAL).first()
+    return None if row is None else np.array(row)
+
+
+def cov_at(df: DataFrame, point_id: int) -> np.ndarray | None:
+    """The 3 x 3 covariance of one point, or None if there is no such point."""
+    row = point_at(df, point_id).select(*COV).first()
+    if row is None:
+        return None
+    out = np.empty((3, 3))
+    for v, (i, j) in zip(row, COV_AT, strict=True):
+        out[i, j] = out[j, i] = v
+    return out
+
+
 def from_numpy(spark: SparkSession, points: np.ndarray) -> DataFrame:
     """A cloud from an array of n x 3 or n x 4 (the fourth column is not a coordinate); ids are row numbers."""
     points = np.asarray(points, dtype=np.float64)

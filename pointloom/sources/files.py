@@ -6,13 +6,16 @@ decoded in Arrow batches on the executors.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointloom.operators.checkpoints import cut, numbered
 from pointloom.schema import NORMAL, XYZ
 
 _OUT = "path string, point_id long, x double, y double, z double"
@@ -39,14 +42,19 @@ def decode_float4(content: bytes) -> np.ndarray:
     return np.frombuffer(content, "<f4", 4 * n).reshape(n, 4)[:, :3]
 
 
+def decoded_float4(files: DataFrame) -> DataFrame:
+    """Points of the contents of such files (path, content): path, point_id (the position in its file), x, y, z."""
+    return _decoded(files, decode_float4)
+
+
 def read_float4(spark: SparkSession, path: str) -> DataFrame:
     """Points of headerless files: path, point_id (the position in its file), x, y, z."""
-    return _decoded(spark.read.format("binaryFile").load(path), decode_float4)
+    return decoded_float4(spark.read.format("binaryFile").load(path))
 
 
 def with_frames(points: DataFrame, max_frames: int | None = None) -> DataFrame:
     """``points`` with frame_id: files numbered from 0 in the order of their paths."""
-    ids = points.select("path").distinct().withColumn("frame_id", (F.row_number().over(Window.orderBy("path")) - 1).cast("long"))
+    ids = numbered(points.select("path").distinct(), ["path"], "frame_id")
     if max_frames is not None:
         ids = ids.where(F.col("frame_id") < max_frames)
     return points.join(ids, "path").select("frame_id", "point_id", *XYZ)
@@ -59,10 +67,13 @@ def read_scan_folder(spark: SparkSession, folder: str, max_frames: int | None =
 
 
 def stream_scan_folder(spark: SparkSession, folder: str, sensor_id: int = 0, files_per_batch: int = 1) -> DataFrame:
-    """The same as a stream: sensor_id, frame_id (the number in the file's name), point_id, x, y, z."""
+    """The same as a stream: sensor_id, frame_id (the number that the file's name ends with; null if there is none), point_id, x, y, z.
+
+    Files come in the order of their modification times.
+    """
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
     files = files.option("pathGlobFilter", "*.bin").option("maxFilesPerTrigger", files_per_batch).load(folder)
-    frame = F.regexp_extract("path", r"(\d+)\.bin$", 1).cast("long")
+    frame = F.regexp_extract("path", r"(\d+)\.bin$", 1).try_cast("long")
     return _decoded(files, decode_float4).select(F.lit(sensor_id).cast("long").alias("sensor_id"), frame.alias("frame_id"), "point_id", *XYZ)
 
 
@@ -122,14 +133,14 @@ def unpack_messages(messages: DataFrame) -> DataFrame:
 
     ``messages`` has cloud_id, point_step, offsets (map of field name to byte
     offset) and data; fields are 32-bit little-endian floats. A message without x, y
-    and z gives no points.
+    and z, or without data, gives no points.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 offsets, step = dict(row["offsets"] or []), row["point_step"] or 0
-                if step <= 0 or not set(XYZ) <= set(offsets):
+                if step <= 0 or row["data"] is None or any(offsets.get(c) is None for c in XYZ):
                     continue
                 n = len(row["data"]) // step
                 raw = np.frombuffer(row["data"], np.uint8, n * step).reshape(n, step)
@@ -179,19 +190,30 @@ def float4_files(points: DataFrame) -> DataFrame:
     return points.select("frame_id", "point_id", *XYZ).groupBy("frame_id").applyInArrow(run, "frame_id long, content binary")
 
 
-def write_float4(points: DataFrame, folder: str) -> None:
-    """One ``.bin`` file a frame in a folder that all executors share, by Hadoop's own file system calls on the driver.
+def write_float4(points: DataFrame, folder: str) -> DataFrame:
+    """One ``.bin`` file a frame in a folder that all executors share; frame_id and path of each.
 
-    Files reach the driver one at a time.
+    Executors write: a file gets a name of its own and then, when it is whole, the frame's, so that a
+    task that runs again leaves the same files. ``folder`` is a path or an address that Arrow's file systems know.
     """
-    spark = points.sparkSession
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    for row in float4_files(points).toLocalIterator():
-        out = fs.create(jvm.org.apache.hadoop.fs.Path(root, f"{row['frame_id']:06d}.bin"), True)
-        out.write(bytearray(row["content"]))
-        out.close()
+    files, root = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+    files.create_dir(root, recursive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        for batch in batches:
+            ids, paths = batch.column(batch.schema.get_field_index("frame_id")), []
+            for frame, content in zip(ids.to_pylist(), batch.column(batch.schema.get_field_index("content")), strict=True):
+                path = f"{root}/{frame:06d}.bin"
+                part = f"{root}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(content.as_buffer())
+                store.move(part, path)
+                paths.append(path)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(paths, pa.string())], names=["frame_id", "path"])
+
+    written = float4_files(points).mapInArrow(run, "frame_id long, path string")
+    return cut(written)
 
 
 def trajectory_lines(trajectory: DataFrame) -> DataFrame:
@@ -201,7 +223,8 @@ def trajectory_lines(trajectory: DataFrame) -> DataFrame:
 
 
 def write_trajectory(trajectory: DataFrame, path: str) -> None:
-    trajectory_lines(trajectory).orderBy("sensor_id", "frame_id").select("line").coalesce(1).write.mode("overwrite").text(path)
+    """Lines in the order of sensors and frames, over as many files as the sort has ranges, named in that order."""
+    trajectory_lines(trajectory).orderBy("sensor_id", "frame_id").select("line").write.mode("overwrite").text(path)
 
 
 def to_double(points: DataFrame, *names: str) -> DataFrame:

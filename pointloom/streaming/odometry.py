@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby, islice
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,10 @@ from pointloom.schema import TRAJECTORY, XYZ
 from pointloom.streaming.voxelmap import ModelOdometry
 
 
+#: Poses that are held before they come out.
+POSE_ROWS = 256
+
+
 def poses_of(model: ModelOdometry, points: pd.DataFrame) -> tuple[list[int], list[list[float]]]:
     """Push the frames of ``points`` in order; frame ids and poses (3 x 4, by rows)."""
     ids, poses = [], []
@@ -25,49 +30,51 @@ def poses_of(model: ModelOdometry, points: pd.DataFrame) -> tuple[list[int], lis
 def scan_to_model(frames: DataFrame, **how) -> DataFrame:
     """(sensor_id, frame_id, pose) of a stream of sensor_id, frame_id, point_id, x, y, z.
 
-    A frame must not be split over micro-batches, and a sensor's frames come in
-    order (they are sorted within a batch). The state of a sensor is its map and
-    pose, bounded by the map's count-based eviction. ``how`` sets up ModelOdometry.
+    A sensor's frames come in order and whole (they are sorted within a micro-batch). A frame that
+    is not after the last one of its sensor came late or was split over micro-batches, and a frame without a number has no
+    place: both end the stream with an error, since the pose of every later frame would be wrong.
+    The state of a sensor is its map and pose, bounded by the map's count-based eviction. ``how`` sets up ModelOdometry.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         model = ModelOdometry.load(state.get[0]) if state.exists else ModelOdometry(**how)
         rows = list(batches)
-        ids, poses = poses_of(model, pd.concat(rows)) if rows else ([], [])
+        points = pd.concat(rows) if rows else pd.DataFrame({"frame_id": []})
+        if points["frame_id"].isna().any():
+            raise ValueError(f"sensor {key[0]}: a frame has no number")
+        if len(points) and model.last_frame is not None and points["frame_id"].min() <= model.last_frame:
+            raise ValueError(f"sensor {key[0]}: frame {int(points['frame_id'].min())} came late or in parts, after frame {model.last_frame}")
+        ids, poses = poses_of(model, points) if len(points) else ([], [])
+        model.last_frame = max(ids, default=model.last_frame)
         state.update((model.dump(),))
         yield pd.DataFrame({"sensor_id": [int(key[0])] * len(ids), "frame_id": ids, "pose": poses})
 
     return frames.groupBy("sensor_id").applyInPandasWithState(step, TRAJECTORY, "model binary", "append", GroupStateTimeout.NoTimeout)
 
 
+def _scans(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Sensor, frame and points of each scan of rows sorted by sensor, frame and point; one scan is held at a time."""
+    at, held = None, []
+    for batch in batches:
+        for key, own in batch.groupby(["sensor_id", "frame_id"], sort=False):
+            if key != at and held:
+                yield *at, np.concatenate(held)
+                held = []
+            at = key
+            held.append(own[list(XYZ)].to_numpy(dtype=np.float64))
+    if held:
+        yield *at, np.concatenate(held)
+
+
 def scan_to_model_batch(frames: DataFrame, **how) -> DataFrame:
-    """The same over a whole table: a sensor's frames are sequential, sensors are parallel."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, held = ModelOdometry(**how), None
-        for batch in batches:  # sorted by frame; the last frame may go on in the next batch
-            held = batch if held is None else pd.concat([held, batch])
-            last = held["frame_id"].iloc[-1]
-            ready, held = held[held["frame_id"] != last], held[held["frame_id"] == last]
-            if len(ready):
-                ids, poses = poses_of(model, ready)
-                yield pd.DataFrame({"sensor_id": [int(key[0])] * len(ids), "frame_id": ids, "pose": poses})
-        if held is not None and len(held):
-            ids, poses = poses_of(model, held)
-            yield pd.DataFrame({"sensor_id": [int(key[0])] * len(ids), "frame_id": ids, "pose": poses})
-
-    def sensors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Runs of one sensor in a partition sorted by sensor, frame and point."""
-        current, buffer = None, []
-        for batch in batches:
-            for sensor, own in batch.groupby("sensor_id", sort=False):
-                if current is not None and sensor != current:
-                    yield from run((current,), iter(buffer))
-                    buffer = []
-                current = sensor
-                buffer.append(own)
-        if buffer:
-            yield from run((current,), iter(buffer))
-
-    rows = frames.select("sensor_id", "frame_id", "point_id", *XYZ)
-    return rows.repartition("sensor_id").sortWithinPartitions("sensor_id", "frame_id", "point_id").mapInPandas(sensors, TRAJECTORY)
+    """The same over a whole table: a sensor's frames are sequential, sensors are parallel. Frames without a number are left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for sensor, scans in groupby(_scans(batches), key=lambda x: x[0]):
+            model = ModelOdometry(**how)
+            posed = ((frame, model.push(xyz)[:3].ravel().tolist()) for _, frame, xyz in scans)  # noqa: B023
+            while some := list(islice(posed, POSE_ROWS)):
+                yield pd.DataFrame({"sensor_id": [int(sensor)] * len(some), "frame_id": [int(f) for f, _ in some], "pose": [p for _, p in some]})
+
+    rows = frames.where("sensor_id IS NOT NULL AND frame_id IS NOT NULL").select("sensor_id", "frame_id", "point_id", *XYZ)
+    return rows.repartition("sensor_id").sortWithinPartitions("sensor_id", "frame_id", "point_id").mapInPandas(run, TRAJECTORY)

@@ -25,7 +25,8 @@ class VoxelMap:
         self.leaf, self.kind, self.horizon, self.cycle, self.offsets = leaf, kind, horizon, cycle, offsets
         self.cell_points, self.sq_spacing = cell_points, sq_spacing
         self.inserts = 0
-        self.cells: dict[tuple[int, int, int], list] = {}  # [last insert, n, rows of (xyz, 9 of the covariance)]
+        self.cells: dict[tuple[int, int, int], list] = {}  # [last insert, n, rows of (xyz, 9 of the covariance, the normal)]
+        self.has_normals = False
         self._flat = None
 
     def __len__(self) -> int:
@@ -35,17 +36,20 @@ class VoxelMap:
     def set_lru(self, horizon: int = LRU_HORIZON, cycle: int = LRU_CYCLE) -> None:
         self.horizon, self.cycle = horizon, cycle
 
-    def insert(self, points: np.ndarray, covs: np.ndarray | None = None, t: np.ndarray | None = None) -> None:
+    def insert(self, points: np.ndarray, covs: np.ndarray | None = None, t: np.ndarray | None = None, normals: np.ndarray | None = None) -> None:
+        """Add points at a pose, with their covariances and normals if they have any (a map keeps what it is given)."""
         t = np.eye(4) if t is None else t
         moved = points @ t[:3, :3].T + t[:3, 3]
         spread = np.zeros((len(points), 9)) if covs is None else (t[:3, :3] @ covs @ t[:3, :3].T).reshape(-1, 9)
-        rows = np.concatenate([moved, spread], axis=1)
+        turned = np.zeros((len(points), 3)) if normals is None else normals @ t[:3, :3].T
+        self.has_normals |= normals is not None
+        rows = np.concatenate([moved, spread, turned], axis=1)
         keys = np.floor(moved * (1.0 / self.leaf)).astype(np.int64)
         if self.kind == "gaussian":
             uniq, group, n = np.unique(keys, axis=0, return_inverse=True, return_counts=True)
-            sums = np.stack([np.bincount(group.ravel(), rows[:, i], len(uniq)) for i in range(12)], axis=1) if len(keys) else np.zeros((0, 12))
+            sums = np.stack([np.bincount(group.ravel(), rows[:, i], len(uniq)) for i in range(15)], axis=1) if len(keys) else np.zeros((0, 15))
             for key, count, total in zip(map(tuple, uniq.tolist()), n.tolist(), sums, strict=True):
-                cell = self.cells.setdefault(key, [0, 0, np.zeros(12)])
+                cell = self.cells.setdefault(key, [0, 0, np.zeros(15)])
                 cell[0], cell[1] = self.inserts, cell[1] + count
                 cell[2] = cell[2] + total
         else:
@@ -60,7 +64,7 @@ class VoxelMap:
             self.cells = {k: c for k, c in self.cells.items() if c[0] + self.horizon >= self.inserts}
         self._flat = None
 
-    def _arrays(self) -> tuple[np.ndarray, np.ndarray, dict]:
+    def _arrays(self) -> tuple[np.ndarray, np.ndarray, dict, np.ndarray]:
         """All points (or means), their covariances, and the range of rows of each voxel."""
         if self._flat is None:
             rows, where, at = [], {}, 0
@@ -69,8 +73,8 @@ class VoxelMap:
                 rows += own
                 where[key] = (at, at + len(own))
                 at += len(own)
-            table = np.array(rows) if rows else np.zeros((0, 12))
-            self._flat = table[:, :3], table[:, 3:].reshape(-1, 3, 3), where
+            table = np.array(rows) if rows else np.zeros((0, 15))
+            self._flat = table[:, :3], table[:, 3:12].reshape(-1, 3, 3), where, table[:, 12:]
         return self._flat
 
     @property
@@ -83,11 +87,15 @@ class VoxelMap:
 
     @property
     def normals(self) -> np.ndarray:
+        """The stored normals (of a Gaussian voxel, the direction of their mean), or those of the covariances if none were given."""
+        if self.has_normals:
+            mean = self._arrays()[3]
+            return mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-300)
         return np.linalg.eigh(self.covs)[1][:, :, 0] if len(self.points) else np.zeros((0, 3))
 
     def match(self, moved: np.ndarray, max_sq: float) -> tuple[np.ndarray, np.ndarray]:
         """Source indices and map rows of the nearest entries in the probed voxels."""
-        table, _, where = self._arrays()
+        table, _, where, _ = self._arrays()
         keys = np.floor(moved * (1.0 / self.leaf)).astype(np.int64)
         uniq, group = np.unique(keys, axis=0, return_inverse=True)
         s, g = [], []
@@ -125,6 +133,7 @@ class ModelOdometry:
         self.map = None if kind == "last" else VoxelMap(voxel, kind, horizon, cycle, offsets)
         self.target = None
         self.world, self.last, self.frames = np.eye(4), np.eye(4), 0
+        self.last_frame: int | None = None
 
     def push(self, scan: np.ndarray) -> np.ndarray:
         from pointloom.plans.local import CloudTarget, features, register, voxel_means

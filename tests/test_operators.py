@@ -1,7 +1,8 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from pointloom.operators import features, neighbors, sampling, voxelmap
+from pointloom.operators import checkpoints, features, neighbors, sampling, voxelmap
 from pointloom.plans import local
 from pointloom.schema import COV, NORMAL, XYZ
 from tests.test_expr import frame
@@ -40,9 +41,46 @@ def test_knn_is_exact(spark, name, nested):
     assert found(neighbors.knn(frame(spark, q), frame(spark, t), 7, nested_loop_targets=nested)) == brute(q, t, 7)
 
 
-def test_tiles_are_exact(spark):
-    q, t = CLOUDS["lattice with ties"], CLOUDS["lattice with ties"][::2]
-    assert found(neighbors.tiled_knn(frame(spark, q), frame(spark, t), 5, tile_targets=50, tile_queries=70)) == brute(q, t, 5)
+@pytest.mark.parametrize("name", CLOUDS)
+@pytest.mark.parametrize("width", [None, 0.3])
+def test_the_tree_is_exact_for_far_queries(spark, name, width):
+    t = CLOUDS[name]
+    if name == "huge box" and width:
+        width = 2e5
+    q = np.concatenate([t[:20], t[:20] * 50, t[:10] + 1e3, t[:10] * [1, 0, 0]])
+    assert found(neighbors.tree_knn(frame(spark, q), frame(spark, t), 5, width)) == brute(q, t, 5)
+
+
+@pytest.mark.parametrize("name", CLOUDS)
+def test_the_grid_in_a_task_is_exact(name):
+    t = CLOUDS[name]
+    for q in (t, t * 3 + 0.1, t[:7] + 1e4, np.zeros((0, 3))):
+        for k in (1, 5, 300):
+            idx, d2 = local.knn(q, t, k)
+            d = ((q[:, None, :] - t[None, :, :]) ** 2).sum(axis=2)
+            order = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(t))]
+            assert (idx == order).all() and np.allclose(d2, np.take_along_axis(d, order, axis=1), rtol=1e-12)
+    assert local.knn(t, np.zeros((0, 3)), 3)[0].shape == (len(t), 0)
+
+
+def test_the_grid_scales_past_a_full_matrix():
+    t = RNG.uniform(0, 50, (30_000, 3))
+    index = local.Grid(t)
+    idx, d2 = index.search(t[::3] + 0.01, 10)
+    some = RNG.integers(0, 10_000, 50)
+    for i in some:
+        d = ((t[3 * i] + 0.01 - t) ** 2).sum(axis=1)
+        assert (idx[i] == np.argsort(d, kind="stable")[:10]).all()
+
+
+def test_one_point(spark):
+    t = CLOUDS["lattice with ties"]
+    rows = neighbors.nearest_to(frame(spark, t), (0.2, 0.0, 0.0), 4).orderBy("rank").collect()
+    assert [(r["point_id"], r["sq_dist"]) for r in rows] == brute(np.array([[0.2, 0.0, 0.0]]), t, 4)[0]
+    assert neighbors.nearest_to(frame(spark, np.zeros((0, 3))), (0, 0, 0)).count() == 0
+    assert found(neighbors.knn(frame(spark, t[:9]), frame(spark, t), 3, epsilon=0.5)) == brute(t[:9], t, 3)
+    with pytest.raises(ValueError):
+        neighbors.knn(frame(spark, t), frame(spark, t), 3, epsilon=-1.0)
 
 
 @pytest.mark.parametrize("name", ["small box", "lattice with ties"])
@@ -135,6 +173,43 @@ def test_flat_map_is_greedy_in_order(spark):
     assert len({r["global_index"] for r in index}) == len(index) and all(r["global_index"] == r["voxel_id"] << 32 | r["slot"] for r in index)
 
 
+def test_the_fold_of_a_flat_map_in_any_batches():
+    """Against going through the rows one by one, with voxels that span batches and points that coincide."""
+    xyz = np.concatenate([RNG.uniform(0, 2, (400, 3)), np.repeat(RNG.uniform(0, 2, (5, 3)), 30, axis=0)])
+    cell = np.floor(xyz).astype(np.int64)
+    order = np.lexsort((np.arange(len(xyz)), cell[:, 2], cell[:, 1], cell[:, 0]))
+    xyz, cell = xyz[order], cell[order]
+    for most, spacing in ((10, 0.01), (3, 0.2), (1000, 0.0)):
+        want, kept, last = [], [], None
+        for i, c in enumerate(map(tuple, cell.tolist())):
+            kept = kept if c == last else []
+            last = c
+            if len(kept) < most and all(((xyz[i] - xyz[j]) ** 2).sum() >= spacing for j in kept):
+                want.append((i, len(kept)))
+                kept.append(i)
+        columns = dict(zip(("vx", "vy", "vz"), cell.T, strict=True)) | dict(zip(XYZ, xyz.T, strict=True)) | {"i": np.arange(len(xyz))}
+        for size in (1, 7, 1000):
+            batches = [pa.RecordBatch.from_pydict({c: np.ascontiguousarray(v[a : a + size]) for c, v in columns.items()}) for a in range(0, len(xyz), size)]
+            got = [(r["i"], r["slot"]) for b in voxelmap._fold(most, spacing)(iter(batches)) for r in b.to_pylist()]
+            assert got == want
+
+
+def test_a_map_as_a_cloud(spark):
+    p = RNG.uniform(0, 3, (500, 3))
+    voxels = voxelmap.gaussian_voxelmap(frame(spark, p), 1.0)
+    cells = voxelmap.map_cloud(voxels).orderBy("point_id").collect()
+    assert [r["point_id"] for r in cells] == list(range(len(cells)))
+    assert [(r["x"], r["n"]) for r in cells] == [(r["x"], r["n"]) for r in voxels.orderBy("vx", "vy", "vz").collect()]
+    flat = voxelmap.map_cloud(voxelmap.flat_voxelmap(frame(spark, p), 1.0))
+    assert flat.select("point_id").distinct().count() == flat.count() and set(XYZ) <= set(flat.columns)
+
+
+def test_numbered(spark):
+    rows = [(int(x),) for x in RNG.permutation(5000)]
+    got = checkpoints.numbered(spark.createDataFrame(rows, "v long").repartition(9), ["v"], "at").collect()
+    assert all(r["v"] == r["at"] for r in got) and len(got) == 5000
+
+
 def test_frame_pairs(spark):
     df = spark.createDataFrame([(3,), (1,), (7,), (3,)], "frame_id long")
     assert sorted(tuple(r) for r in neighbors.frame_pairs(df).collect()) == [(3, 1), (7, 3)]

@@ -7,7 +7,7 @@ from pointloom.operators.features import estimate_normals_covariances
 from pointloom.operators.voxelmap import gaussian_voxelmap, lru_survivors
 from pointloom.plans import kernels, local, odometry
 from pointloom.plans.optimize import GaussNewton, LevenbergMarquardt, NullFactor, RestrictDoF, TerminationCriteria
-from pointloom.plans.registration import Registration, RegistrationSession, align, correspondences, linear_system, relative_pose_error
+from pointloom.plans.registration import Registration, RegistrationSession, align, correspondences, linear_system, linearize_point, relative_pose_error
 from pointloom.streaming.voxelmap import ModelOdometry, VoxelMap
 from tests.test_expr import frame
 
@@ -139,6 +139,49 @@ def test_no_pairs_stay_where_they_are(pair):
 # --- voxel maps and odometry --------------------------------------------------------
 
 
+def test_own_kernels_and_single_points(spark, pair):
+    target, source, *_ = pair
+
+    def soft(x, width):
+        return 1.0 / (1.0 + (x / width) ** 2)
+
+    df = [estimate_normals_covariances(frame(spark, p), 10) for p in (target, source)]
+    pairs = correspondences(*df, np.eye(4), "icp", 1.0)
+    for mine, theirs in ((kernels.cauchy_weight, "cauchy"), (kernels.huber_weight, "huber")):
+        assert np.allclose(list(linear_system(pairs, np.eye(4), mine).first()), list(linear_system(pairs, np.eye(4), theirs).first()))
+    assert np.allclose(list(linear_system(pairs, np.eye(4), soft).first()), list(linear_system(pairs, np.eye(4), "cauchy").first()))
+    with pytest.raises(KeyError):
+        kernels.weight_of("no such kernel")
+    total, n = np.zeros((6, 6)), 0
+    for i in range(5):
+        fits, h, b, e = linearize_point(*df, np.eye(4), i, "icp", 1.0)
+        n += fits
+        total += h
+        assert (e > 0 and b.any()) or not fits
+    row = linear_system(pairs.where("source_id < 5"), np.eye(4)).first()
+    assert n == row["n_inliers"] and np.isclose(total[0, 0], row["h00"]) and np.isclose(total[2, 5], row["h25"])
+    assert linearize_point(*df, np.eye(4), -1, "icp", 1.0)[0] is False
+
+
+@pytest.mark.parametrize("kind", ["flat", "gaussian"])
+def test_stored_normals(kind):
+    """A map turns the normals it is given, and gives them back instead of the covariances' own."""
+    rng = np.random.default_rng(8)
+    p, n = rng.uniform(0, 3, (200, 3)), rng.normal(size=(200, 3))
+    n /= np.linalg.norm(n, axis=1, keepdims=True)
+    t = se3_exp(np.array([0.3, -0.2, 0.5, 1.0, 2.0, 3.0]))
+    one = VoxelMap(100.0 if kind == "gaussian" else 0.01, kind)
+    one.insert(p, t=t, normals=n)
+    if kind == "flat":
+        back = {tuple(x): y for x, y in zip(one.points.round(9), one.normals, strict=True)}
+        want = {tuple(x): y for x, y in zip((p @ t[:3, :3].T + t[:3, 3]).round(9), n @ t[:3, :3].T, strict=True)}
+        assert back.keys() <= want.keys() and len(back) > 190 and all(np.allclose(back[k], want[k]) for k in back)
+    else:
+        mean = (n @ t[:3, :3].T).mean(axis=0)
+        assert np.allclose(one.normals, mean / np.linalg.norm(mean))
+    assert VoxelMap(1.0).normals.shape == (0, 3)
+
+
 def test_lru_counts_inserts():
     m = VoxelMap(1.0, horizon=2, cycle=3)
     for k in range(6):
