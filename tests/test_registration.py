@@ -167,7 +167,7 @@ def test_own_kernels_and_single_points(spark, pair):
 def test_stored_normals(kind):
     """A map turns the normals it is given, and gives them back instead of the covariances' own."""
     rng = np.random.default_rng(8)
-    p, n = rng.uniform(0, 3, (200, 3)), rng.normal(size=(200, 3))
+    p, n = rng.uniform(20, 23, (200, 3)), rng.normal(size=(200, 3))
     n /= np.linalg.norm(n, axis=1, keepdims=True)
     t = se3_exp(np.array([0.3, -0.2, 0.5, 1.0, 2.0, 3.0]))
     one = VoxelMap(100.0 if kind == "gaussian" else 0.01, kind)
