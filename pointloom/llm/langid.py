@@ -6,7 +6,11 @@ a document is a mixture of languages that generate its words. Expectation
 maximisation estimates the proportions; the language set is the one of the nested
 sets (the most frequent language, the two most frequent, ...) with the highest
 log-likelihood less log(words) / 2 for each language. The prediction is the set's
-most frequent language.
+most frequent language. An estimate ends after 25 rounds, or once no proportion moves by 0.001; a
+language whose first estimate is below 0.02 of the document is in no larger set.
+
+The model is one table of languages times buckets, which the driver gathers and every task gets; labels
+with more than 256 values are refused, as that table would have no bound.
 
 Only the text decides: the language label serves to learn from documents that are
 not held out, nothing else of a document is looked at.
@@ -36,6 +40,7 @@ EM_ROUNDS, EM_STEP = 25, 1e-3
 #: Languages below this share after the first estimate are not tried in a larger set.
 MIN_SHARE = 0.02
 HELD_OUT_MOD, HELD_OUT = 4, 2
+MAX_LANGUAGES = 256
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -92,9 +97,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame) -> LanguageModel:
     """Learn from all of ``docs`` (doc_id, text, lang) that are not held out and have a language."""
+    learned = docs.where(~is_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    if learned.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     found = (
-        in_small_batches(docs)
-        .where(~is_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+        in_small_batches(learned)
         .select("lang", "text")
         .mapInArrow(_count, "lang string, bucket long, n long")
         .groupBy("lang", "bucket")

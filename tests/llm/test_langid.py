@@ -75,3 +75,9 @@ def test_edges(spark, fitted):
     assert [by[i]["lang_pred"] for i in (3, 4, 7)] == ["und"] * 3 and by[None]["held_out"]
     assert langid.predict(empty(spark), langid.fit(empty(spark))).count() == 0
     assert {r["lang_pred"] for r in langid.predict(edge(spark), langid.fit(empty(spark))).collect()} == {"und"}
+
+
+def test_too_many_languages_are_refused(spark):
+    docs = spark.range(2000).selectExpr("id AS doc_id", "'some text' AS text", "concat('l', id) AS lang")
+    with pytest.raises(ValueError, match="languages"):
+        langid.fit(docs)
