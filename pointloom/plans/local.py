@@ -30,29 +30,36 @@ class Grid:
     """An index of points by cells, exact for any query.
 
     The points of the 27 cells around a query are ranges of a sorted array. A query is
-    settled once its k-th distance is at most the cells' width, since all else is farther;
-    the others go on with cells of four times the width, kept for the next search.
+    settled once k of them are within the cells' width, since all else is farther;
+    the others go on with cells of twice the width. Widths start where few points share a cell, and
+    a search starts where about k / 3 do; layouts are kept for the next search.
     """
 
-    def __init__(self, targets: np.ndarray, points_per_cell: float = 4.0):
+    def __init__(self, targets: np.ndarray):
         self.targets = targets
         self.low = targets.min(axis=0) if len(targets) else np.zeros(3)
         sides = targets.max(axis=0) - self.low if len(targets) else np.zeros(3)
         longest = max(float(sides.max()), 1e-12)
         volume = float(np.prod(np.maximum(sides, longest * 1e-2)))
-        self.longest = longest
-        self.width = max((volume * points_per_cell / max(len(targets), 1)) ** (1 / 3), longest * 1e-5)
+        self.width = max((volume * 4.0 / max(len(targets), 1)) ** (1 / 3), longest * 1e-5)
         self.levels: list[tuple] = []
+        if len(targets) > _DIRECT:
+            while self._laid(self.width)[4] > 1.5 and self.width > longest * 2e-5:
+                self.width /= 2.0
+
+    def _laid(self, width: float) -> tuple:
+        """Width, cells along the axes, sorted keys, the points in their order, and how many points a point's cell has on average."""
+        cells = np.floor((self.targets - self.low) / width).astype(np.int64)
+        size = cells.max(axis=0) + 1
+        keys = (cells[:, 2] * size[1] + cells[:, 1]) * size[0] + cells[:, 0]
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        n = np.diff(np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]]))
+        return width, size, keys, order, float((n * n).sum() / len(keys))
 
     def _level(self, i: int) -> tuple:
-        """Width, cells along the axes, sorted keys and the points in their order."""
         while len(self.levels) <= i:
-            width = self.width * 4.0 ** len(self.levels)
-            cells = np.floor((self.targets - self.low) / width).astype(np.int64)
-            size = cells.max(axis=0) + 1
-            keys = (cells[:, 2] * size[1] + cells[:, 1]) * size[0] + cells[:, 0]
-            order = np.argsort(keys, kind="stable")
-            self.levels.append((width, size, keys[order], order))
+            self.levels.append(self._laid(self.width * 2.0 ** len(self.levels)))
         return self.levels[i]
 
     def search(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,19 +68,17 @@ class Grid:
         idx, d2 = np.zeros((len(queries), k), np.int64), np.full((len(queries), k), np.inf)
         left, level = np.arange(len(queries)), 0
         while len(left) and k:
-            width, size, _, _ = self._level(level)
-            if (size <= 2).all() or len(self.targets) <= _DIRECT:  # every cell is a neighbour: all points
+            if len(self.targets) <= _DIRECT or (self._level(level)[1] <= 2).all():  # every cell is a neighbour: all points
                 idx[left], d2[left] = _direct(queries[left], self.targets, k)
                 break
-            rest, step = [], 4096
-            for a in range(0, len(left), step):
-                rest.append(self._near(queries, left[a : a + step], k, level, idx, d2))
-            left, level = np.concatenate(rest), level + 1
+            if self._level(level)[4] >= k / 3:
+                left = np.concatenate([self._near(queries, left[a : a + 4096], k, level, idx, d2) for a in range(0, len(left), 4096)])
+            level += 1
         return idx, d2
 
     def _near(self, queries: np.ndarray, own: np.ndarray, k: int, level: int, idx: np.ndarray, d2: np.ndarray) -> np.ndarray:
-        """Settle those of ``own`` that find their ``k`` nearest around them; the others come back."""
-        width, size, keys, order = self._level(level)
+        """Settle those of ``own`` that have ``k`` points within the width; the others come back."""
+        width, size, keys, order, _ = self._level(level)
         at = np.floor((queries[own] - self.low) / width)
         at = np.clip(at, -2, size + 1).astype(np.int64)  # farther out there is nothing anyway
         who, start, length = [], [], []
@@ -90,26 +95,28 @@ class Grid:
         who, start, length = (np.concatenate(x) for x in (who, start, length))
         by = np.argsort(who, kind="stable")
         who, start, length = who[by], start[by], length[by]
-        n = np.bincount(who, length, len(own)).astype(np.int64)
         settled = np.zeros(len(own), bool)
-        ends = np.cumsum(n)
-        for a in range(0, len(own), 512):  # pairs of some queries at a time
-            b = min(a + 512, len(own))
-            part = slice(*np.searchsorted(who, (a, b)))
-            q = np.repeat(who[part], length[part])
-            if not len(q):
-                continue
-            offset = np.arange(len(q)) - np.repeat(np.cumsum(length[part]) - length[part], length[part])
-            t = order[np.repeat(start[part], length[part]) + offset]
+        most = width * width * (1 - 1e-12)
+        ends = np.cumsum(length)
+        a = 0
+        while a < len(who):  # pairs of some queries at a time, or of one that has more
+            b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + _BLOCK, side="right"))
+            b = int(np.searchsorted(who, who[min(b, len(who) - 1)], side="left")) if b < len(who) else b
+            if b <= a:
+                b = int(np.searchsorted(who, who[a], side="right"))
+            n = length[a:b]
+            q = np.repeat(who[a:b], n)
+            t = order[np.repeat(start[a:b] - np.cumsum(n) + n, n) + np.arange(len(q))]
             d = ((queries[own[q]] - self.targets[t]) ** 2).sum(axis=1)
+            near = d <= most
+            q, t, d = q[near], t[near], d[near]
+            a = b
             rank = np.lexsort((t, d, q))
-            first = ends[a:b] - n[a:b] - (ends[a] - n[a])
-            enough = np.flatnonzero(n[a:b] >= k)
+            q, first, n = np.unique(q, return_index=True, return_counts=True)
+            enough = n >= k
             best = rank[first[enough, None] + np.arange(k)]
-            done = d[best[:, -1]] <= width * width * (1 - 1e-12)
-            rows = own[a + enough[done]]
-            idx[rows], d2[rows] = t[best[done]], d[best[done]]
-            settled[a + enough[done]] = True
+            idx[own[q[enough]]], d2[own[q[enough]]] = t[best], d[best]
+            settled[q[enough]] = True
         return own[~settled]
 
 
