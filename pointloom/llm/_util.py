@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 from collections.abc import Iterator
@@ -65,6 +66,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_unused(spark: SparkSession) -> None:
+    """Have the shuffle files and checkpoints that no DataFrame refers to any more removed.
+
+    Spark removes them when the driver collects its garbage, which on large inputs happens long after a step has ended.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

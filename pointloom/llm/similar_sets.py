@@ -13,9 +13,10 @@ pass a sorted stream, which drops those that nobody else makes; the visits to a
 shingle, all of which stay, are dealt over several tasks. Equal sets are one
 node. Each set is first held against a few visitors of its meeting point, those with the smallest keys;
 pairs that this has already connected are not built, so that a large group of near copies
-costs few pairs beyond those. What is left is held against each other, pair by pair, if a
-fingerprint allows it: the parities of the set's hashes in 256 bits differ in no
-more places than the sets do, which bounds the similarity from above.
+costs few pairs beyond those. What is left is held against each other, pair by pair, if two
+bounds from above allow it: the numbers of the sets' hashes in 256 cells differ by no more than the
+sets do, and so do their parities, which are looked at first. Pairs are two keys until then: only
+sets whose numbers are that close are built again and sent to each other.
 
 Defined results: a text of fewer than five words is one shingle, a text without words
 (or null) the empty set, which equals only itself. Repeated ids and null are as in ``simhash``.
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm._util import batches_of, column, cut_lineage, in_small_batches
+from pointloom.llm._util import batches_of, column, cut_lineage, free_unused, in_small_batches
 from pointloom.llm.graph import connected_components
 from pointloom.llm.simhash import SEED
 
@@ -41,13 +42,16 @@ NUM, DEN = 4, 5
 #: Visitors of a place that all others there are held against first; a place with so many is done then.
 HUBS = 16
 SAMPLE_DOCS, SAMPLE_SEEN, SAMPLE_MOST = 20_000, 3, 1 << 17
+#: The sample has one of so many documents at least.
+SAMPLE_STEP = 20
 #: Tasks that share the visits to a frequent shingle.
 SALTS = 64
 #: Keys that a task remembers, to pass by copies.
 SEEN_KEYS = 1 << 19
 #: Ids of documents to be compared that are sent to every task, at most.
 SENT_IDS = 1 << 18
-PARITY = [f"b{i}" for i in range(4)]
+CELLS = 256
+PARITY = [f"b{i}" for i in range(CELLS // 64)]
 
 
 def shingle_set(text: str | None, k: int = SHINGLE_WORDS) -> np.ndarray:
@@ -68,18 +72,32 @@ def set_key(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes(), SEED)).view(np.int64))
 
 
+def cell_counts(shingles: np.ndarray) -> np.ndarray:
+    """How many of the shingles fall into each of 256 cells, modulo 256."""
+    return np.bincount(shingles.view(np.uint64) >> np.uint64(56), minlength=CELLS).astype(np.uint8)
+
+
 def parities(shingles: np.ndarray) -> np.ndarray:
     """Four words of 64 bits: a bit for each of 256 cells, whether an odd number of the shingles fall there."""
-    odd = np.bincount(shingles.view(np.uint64) >> np.uint64(56), minlength=256) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+    return np.packbits(cell_counts(shingles) & 1, bitorder="little").view(np.int64)
+
+
+def counts_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """By row, the sum of differences of cells' counts, each the least possible: the sets differ in as many shingles at least."""
+    return np.abs((x - y).view(np.int8).astype(np.int64)).sum(axis=1)
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingle_set(t.as_py()) for t in column(batch, "text")]
-        bits = np.stack([parities(s) for s in sets]) if sets else np.zeros((0, 4), np.int64)
+        bits = np.stack([parities(s) for s in sets]) if sets else np.zeros((0, len(PARITY)), np.int64)
         yield batches_of(
-            {"doc_id": column(batch, "doc_id"), "key": pa.array([set_key(s) for s in sets], pa.int64())}
+            {
+                "doc_id": column(batch, "doc_id"),
+                "key": pa.array([set_key(s) for s in sets], pa.int64()),
+                "n": pa.array([len(s) for s in sets], pa.int32()),
+                "counts": pa.array([cell_counts(s).tobytes() for s in sets], pa.binary()),
+            }
             | {c: pa.array(np.ascontiguousarray(bits[:, i])) for i, c in enumerate(PARITY)}
         )
 
@@ -98,7 +116,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _frequent(docs: DataFrame) -> np.ndarray:
     """Shingles that several documents of a sample have, ascending; at most SAMPLE_MOST."""
-    step = max(1, docs.count() // SAMPLE_DOCS)
+    step = min(max(1, docs.count() // SAMPLE_DOCS), SAMPLE_STEP)
     sample = in_small_batches(docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).distinct())
     seen = sample.mapInArrow(_shingles, "shingle long").groupBy("shingle").count().where(F.col("count") >= SAMPLE_SEEN)
     top = seen.orderBy(F.desc("count"), "shingle").limit(SAMPLE_MOST).toArrow()
@@ -156,6 +174,21 @@ _REACHES = f"{NUM + DEN} * least(x.n - x.pos, y.n - y.pos) >= {NUM} * (x.n + y.n
 _MAY_BE = f"{NUM + DEN} * ({' + '.join(f'bit_count(x.{c} ^ y.{c})' for c in PARITY)}) <= {DEN - NUM} * (x.n + y.n)"
 
 
+def _close(distinct: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) of keys whose cells' counts differ by no more than sets that similar can."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(column(batch, c).to_pylist()), np.uint8).reshape(-1, CELLS) for c in ("ca", "cb"))
+            sizes = column(batch, "na").to_numpy().astype(np.int64) + column(batch, "nb").to_numpy()
+            hold = pa.array((NUM + DEN) * counts_apart(x, y) <= (DEN - NUM) * sizes)
+            yield batches_of({k: column(batch, k).filter(hold) for k in ("a", "b")})
+
+    for end in "ab":
+        pairs = pairs.join(distinct.select(F.col("key").alias(end), F.col("n").alias(f"n{end}"), F.col("counts").alias(f"c{end}")), end)
+    return cut_lineage(pairs.mapInArrow(run, "a long, b long"))
+
+
 def _verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
     """The ``pairs`` (a, b) of keys whose whole sets are similar enough; only documents that are needed are hashed again."""
 
@@ -182,34 +215,61 @@ def _verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFra
     return cut_lineage(both.mapInArrow(run, "a long, b long"))
 
 
-def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """``docs`` and their distinct (key, first_doc, parities) to links (a, b) of similar sets, by key, that keep all connections."""
+def _met(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(shingle, key, n, pos, parities): the visits that have company."""
     visits = _prefixes(docs, _frequent(docs)).repartition("shingle", "salt").sortWithinPartitions("shingle", "key")
     met = visits.mapInArrow(_company, "shingle long, key long, at long")
-    company = cut_lineage(
-        met.join(distinct.select("key", *PARITY), "key").select("shingle", "key", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"), *PARITY)
-    )
+    pos = F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos")
+    return cut_lineage(met.join(distinct.select("key", "n", *PARITY), "key").select("shingle", "key", "n", pos, *PARITY))
+
+
+def _star(company: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a visitor and one of the few with the smallest keys at the same place."""
     smallest = Window.partitionBy("shingle").orderBy("key")
     hubs = company.withColumn("r", F.row_number().over(smallest)).where(F.col("r") <= HUBS).drop("r")
     x, y = hubs.alias("x"), company.alias("y")
     star = y.join(x, "shingle").where(f"x.key <> y.key AND {_REACHES} AND {_MAY_BE}")
-    star = cut_lineage(star.select(F.expr("least(x.key, y.key)").alias("a"), F.expr("greatest(x.key, y.key)").alias("b")).distinct())
-    first = _verified(docs, distinct, star)
+    return cut_lineage(star.select(F.expr("least(x.key, y.key)").alias("a"), F.expr("greatest(x.key, y.key)").alias("b")).distinct())
+
+
+def _rest(company: DataFrame, star: DataFrame, first: DataFrame) -> DataFrame:
+    """Pairs (a, b) of visitors of a place that the links ``first`` don't connect, but for those of ``star``."""
     roots = connected_components(first).withColumnRenamed("node", "key")
     rooted = cut_lineage(company.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")))
     apart = rooted.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("visits")).where(f"lo <> hi AND visits > {HUBS}")
     rooted = rooted.join(apart.select("shingle"), "shingle", "left_semi")
     x, y = rooted.alias("x"), rooted.alias("y")
     rest = x.join(y, "shingle").where(f"x.key < y.key AND x.root <> y.root AND {_REACHES} AND {_MAY_BE}").select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-    rest = cut_lineage(rest.join(star, ["a", "b"], "left_anti"))
-    return first.union(_verified(docs, distinct, rest))
+    return cut_lineage(rest.join(star, ["a", "b"], "left_anti"))
+
+
+def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """``docs`` and their distinct (key, n, counts, parities, first_doc) to links (a, b) of similar sets, by key, that keep all connections.
+
+    Each step's shuffles and checkpoints go before the next one writes its own.
+    """
+    spark = docs.sparkSession
+    company = _met(docs, distinct)
+    free_unused(spark)
+    star = _star(company)
+    free_unused(spark)
+    first = _verified(docs, distinct, _close(distinct, star))
+    free_unused(spark)
+    rest = _rest(company, star, first)
+    del company, star
+    free_unused(spark)
+    found = first.union(_verified(docs, distinct, _close(distinct, rest)))
+    del rest
+    free_unused(spark)
+    return found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) for each row of ``docs`` (doc_id, text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    prints = cut_lineage(in_small_batches(docs).select("doc_id", "text").mapInArrow(_keys, f"doc_id {kind}, key long, {', '.join(f'{c} long' for c in PARITY)}"))
-    distinct = cut_lineage(prints.groupBy("key", *PARITY).agg(F.min("doc_id").alias("first_doc")))
+    prints = cut_lineage(in_small_batches(docs).select("doc_id", "text").mapInArrow(_keys, f"doc_id {kind}, key long, n int, counts binary, {', '.join(f'{c} long' for c in PARITY)}"))
+    distinct = cut_lineage(prints.groupBy("key", "n", "counts", *PARITY).agg(F.min("doc_id").alias("first_doc")))
+    prints = cut_lineage(prints.select("doc_id", "key"))
     roots = connected_components(links(docs, distinct)).withColumnRenamed("node", "key")
     grouped = distinct.join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("root"), "first_doc")
     smallest = grouped.groupBy("root").agg(F.min("first_doc").alias("component_id"))

@@ -77,6 +77,32 @@ def test_parities_never_differ_more_than_the_sets():
     assert similar_sets.parities(np.zeros(0, np.int64)).tolist() == [0, 0, 0, 0]
 
 
+def test_cell_counts_never_differ_more_than_the_sets():
+    """Also where a cell holds more than 256; and unlike long sets, whose parities say nothing, are told apart."""
+    rng = np.random.default_rng(3)
+    for n in (1, 50, 2000, 100_000):
+        a, other = (np.unique(rng.integers(-(1 << 63), 1 << 63, n)) for _ in range(2))
+        b = np.unique(np.concatenate([a[: n // 2], other[: n // 3 + 1]]))
+        apart = similar_sets.counts_apart(*(np.stack([similar_sets.cell_counts(s)] * 2) for s in (a, b)))
+        assert apart[0] == apart[1] <= len(np.setxor1d(a, b))
+    a, b = (np.unique(rng.integers(-(1 << 63), 1 << 63, 5000)) for _ in range(2))
+    assert 9 * similar_sets.counts_apart(similar_sets.cell_counts(a)[None], similar_sets.cell_counts(b)[None])[0] > len(a) + len(b)
+    assert similar_sets.counts_apart(np.zeros((0, 256), np.uint8), np.zeros((0, 256), np.uint8)).tolist() == []
+
+
+def test_whole_sets_are_sent_for_close_pairs_only(spark, monkeypatch):
+    """Long texts that share a passage by two meet, but only a near copy's pair has its sets built again and sent."""
+    rng = random.Random(4)
+    texts = [[*(f"p{i // 2}_{j}" for j in range(600)), *(f"w{rng.randrange(10**6)}" for _ in range(2000))] for i in range(12)]
+    texts.append([*texts[0][:-50], *(f"new{i}" for i in range(50))])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    sent, verified = [], similar_sets._verified
+    monkeypatch.setattr(similar_sets, "_verified", lambda docs, distinct, pairs: sent.append(pairs.count()) or verified(docs, distinct, pairs))
+    got = {r["doc_id"]: r["component_id"] for r in similar_sets.near_duplicates(docs).collect()}
+    assert got == {i: i for i in range(12)} | {12: 0}
+    assert sum(sent) == 1
+
+
 def test_company_in_any_batches():
     """Against counting: visits that share their shingle with another key, or are salted, each once."""
     rng = np.random.default_rng(2)
