@@ -29,7 +29,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (5-word Jaccard of 0.8 or more) stays, the smallest."""
+    """One document of each group of near-duplicates (5-word Jaccard of 0.8 or more) stays, the smallest.
+
+    SimHash fingerprints meet on the popcount grid and are checked on whole sets; pairs beyond the grid's radius are found exactly.
+    """
     return simhash.keep_one_of_each(docs, similar_sets.near_duplicates)
 
 

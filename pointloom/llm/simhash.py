@@ -50,7 +50,11 @@ def fingerprint(text: bytes, k: int = SHINGLE_WORDS) -> int:
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = [0, *(ends[: len(words) - k] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)], np.uint64)
+    return majority(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash of unsigned hashes: a bit is 1 if it is in over half of them; zero of none."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         part = hashes[i : i + (1 << 16)]

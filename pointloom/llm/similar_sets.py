@@ -1,8 +1,13 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, as an exact join.
+"""Near-duplicates by SimHash on the popcount grid and the Jaccard similarity of word shingles.
 
 A text is the set of its distinct 5-word shingles (XXH64). Two texts are near-duplicates
-if their sets' similarity is 0.8 or more; groups are the connected components. No pair
-is left to chance: with any total order of the shingles, two sets that similar
+if their sets' similarity is 0.8 or more; groups are the connected components.
+
+First comes the method of ``simhash``: the sets' fingerprints meet on the grid of segment
+popcounts, and each link of two fingerprints within 2 bits (or equal ones) is checked on the whole
+sets. The grid's radius is a cap, which most pairs of similarity 0.8 exceed, and a wider one
+meets nearly everything. So what lies beyond it is found exactly, among sets that the grid has not connected yet.
+No pair is left to chance: with any total order of the shingles, two sets that similar
 share one among the first n - ceil(0.8 n) + 1 of each (prefix filter), so
 every set visits the shingles of its prefix, and pairs that meet are verified on whole sets.
 A meeting counts only if the shingles after it, and the two sizes, can still reach 0.8.
@@ -32,6 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointloom.llm import simhash
 from pointloom.llm._util import batches_of, column, cut_lineage, free_unused, in_small_batches
 from pointloom.llm.graph import connected_components
 from pointloom.llm.simhash import SEED
@@ -96,6 +102,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "doc_id": column(batch, "doc_id"),
                 "key": pa.array([set_key(s) for s in sets], pa.int64()),
                 "n": pa.array([len(s) for s in sets], pa.int32()),
+                "fp": pa.array(np.array([simhash.majority(s.view(np.uint64)) for s in sets], np.uint64).view(np.int64)),
                 "counts": pa.array([cell_counts(s).tobytes() for s in sets], pa.binary()),
             }
             | {c: pa.array(np.ascontiguousarray(bits[:, i])) for i, c in enumerate(PARITY)}
@@ -215,27 +222,42 @@ def _verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFra
     return cut_lineage(both.mapInArrow(run, "a long, b long"))
 
 
-def _met(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(shingle, key, n, pos, parities): the visits that have company."""
+def _ordered(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _on_grid(distinct: DataFrame) -> DataFrame:
+    """Pairs (a, b) of keys whose fingerprints the grid join links, each fingerprint by its smallest key, and of that key and others with its fingerprint."""
+    first = cut_lineage(distinct.groupBy("fp").agg(F.min("key").alias("first")))
+    same = distinct.select("fp", "key").join(first, "fp").where("key <> first").select(*_ordered("key", "first"))
+    ends = [first.select(F.col("fp").alias(c), F.col("first").alias(f"key_{c}")) for c in "ab"]
+    met = simhash.links(first.select("fp")).join(ends[0], "a").join(ends[1], "b").select(*_ordered("key_a", "key_b"))
+    return cut_lineage(same.union(met).distinct())
+
+
+def _met(docs: DataFrame, distinct: DataFrame, near: DataFrame) -> DataFrame:
+    """(shingle, key, n, pos, root, parities): the visits that have company; links ``near`` are known."""
     visits = _prefixes(docs, _frequent(docs)).repartition("shingle", "salt").sortWithinPartitions("shingle", "key")
     met = visits.mapInArrow(_company, "shingle long, key long, at long")
     pos = F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos")
-    return cut_lineage(met.join(distinct.select("key", "n", *PARITY), "key").select("shingle", "key", "n", pos, *PARITY))
+    roots = connected_components(near).withColumnRenamed("node", "key")
+    known = distinct.select("key", "n", *PARITY).join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    return cut_lineage(met.join(known, "key").select("shingle", "key", "n", pos, "root", *PARITY))
 
 
 def _star(company: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a visitor and one of the few with the smallest keys at the same place."""
+    """Pairs (a, b) of a visitor and one of the few with the smallest keys at the same place, unless they are connected."""
     smallest = Window.partitionBy("shingle").orderBy("key")
     hubs = company.withColumn("r", F.row_number().over(smallest)).where(F.col("r") <= HUBS).drop("r")
     x, y = hubs.alias("x"), company.alias("y")
-    star = y.join(x, "shingle").where(f"x.key <> y.key AND {_REACHES} AND {_MAY_BE}")
-    return cut_lineage(star.select(F.expr("least(x.key, y.key)").alias("a"), F.expr("greatest(x.key, y.key)").alias("b")).distinct())
+    star = y.join(x, "shingle").where(f"x.root <> y.root AND {_REACHES} AND {_MAY_BE}")
+    return cut_lineage(star.select(*_ordered("x.key", "y.key")).distinct())
 
 
 def _rest(company: DataFrame, star: DataFrame, first: DataFrame) -> DataFrame:
     """Pairs (a, b) of visitors of a place that the links ``first`` don't connect, but for those of ``star``."""
     roots = connected_components(first).withColumnRenamed("node", "key")
-    rooted = cut_lineage(company.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")))
+    rooted = cut_lineage(company.drop("root").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")))
     apart = rooted.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("visits")).where(f"lo <> hi AND visits > {HUBS}")
     rooted = rooted.join(apart.select("shingle"), "shingle", "left_semi")
     x, y = rooted.alias("x"), rooted.alias("y")
@@ -244,16 +266,18 @@ def _rest(company: DataFrame, star: DataFrame, first: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """``docs`` and their distinct (key, n, counts, parities, first_doc) to links (a, b) of similar sets, by key, that keep all connections.
+    """``docs`` and their distinct (key, n, fp, counts, parities, first_doc) to links (a, b) of similar sets, by key, that keep all connections.
 
     Each step's shuffles and checkpoints go before the next one writes its own.
     """
     spark = docs.sparkSession
-    company = _met(docs, distinct)
+    near = _verified(docs, distinct, _close(distinct, _on_grid(distinct)))
+    free_unused(spark)
+    company = _met(docs, distinct, near)
     free_unused(spark)
     star = _star(company)
     free_unused(spark)
-    first = _verified(docs, distinct, _close(distinct, star))
+    first = near.union(_verified(docs, distinct, _close(distinct, star)))
     free_unused(spark)
     rest = _rest(company, star, first)
     del company, star
@@ -267,8 +291,8 @@ def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) for each row of ``docs`` (doc_id, text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    prints = cut_lineage(in_small_batches(docs).select("doc_id", "text").mapInArrow(_keys, f"doc_id {kind}, key long, n int, counts binary, {', '.join(f'{c} long' for c in PARITY)}"))
-    distinct = cut_lineage(prints.groupBy("key", "n", "counts", *PARITY).agg(F.min("doc_id").alias("first_doc")))
+    prints = cut_lineage(in_small_batches(docs).select("doc_id", "text").mapInArrow(_keys, f"doc_id {kind}, key long, n int, fp long, counts binary, {', '.join(f'{c} long' for c in PARITY)}"))
+    distinct = cut_lineage(prints.groupBy("key", "n", "fp", "counts", *PARITY).agg(F.min("doc_id").alias("first_doc")))
     prints = cut_lineage(prints.select("doc_id", "key"))
     roots = connected_components(links(docs, distinct)).withColumnRenamed("node", "key")
     grouped = distinct.join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("root"), "first_doc")

@@ -3,9 +3,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 import corpus_pipeline
-from pointloom.llm import similar_sets
+from pointloom.llm import simhash, similar_sets
 from tests.llm.cases import edge, empty
 from tests.llm.test_simhash import components
 
@@ -103,6 +104,49 @@ def test_whole_sets_are_sent_for_close_pairs_only(spark, monkeypatch):
     assert sum(sent) == 1
 
 
+def close_copies(seed):
+    """Long texts and copies with a word or two changed, whose fingerprints are up to a few bits apart; one copy with a line twice."""
+    rng = random.Random(seed)
+    texts = []
+    for _ in range(10):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(800)]
+        texts += [" ".join([*base[:i], "other", *base[i + 1 :]]) for i in rng.sample(range(800), 2)]
+    return [*texts, texts[0] + " " + " ".join(texts[0].split()[-400:])]
+
+
+def set_print(s):
+    hs = [xxhash.xxh64_intdigest(x, 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def test_stage_links_by_fingerprints_on_the_grid(spark, sf_dir, monkeypatch):
+    """With the way for pairs beyond the grid shut, similar sets within 2 bits are still found, and no others."""
+    rows = list(enumerate(close_copies(5) + made(2)[:60]))
+    sets = {i: brute_set(t) for i, t in rows}
+    prints = {i: set_print(s) for i, s in sets.items()}
+    near = lambda a, b: similar(sets[a], sets[b]) and bin(prints[a] ^ prints[b]).count("1") <= 2
+    want = components(sets, near)
+    assert sum(i != r for i, r in want.items()) > 3 and want != components(sets, lambda a, b: similar(sets[a], sets[b]))
+    for name in ("_star", "_rest"):
+        monkeypatch.setattr(similar_sets, name, lambda company, *known: spark.createDataFrame([], "a long, b long"))
+    docs = spark.createDataFrame([(i, t, "en", "src0", 1) for i, t in rows], edge(spark, extra=False).schema)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()) == sorted(set(want.values()))
+
+
+def test_links_of_the_grid_are_checked(spark, monkeypatch):
+    """Fingerprints that meet without similar sets make no link, and hide none."""
+    rows = list(enumerate(close_copies(6) + made(3)[:60]))
+    sets = {i: brute_set(t) for i, t in rows}
+
+    def all_to_the_smallest(prints):
+        lo = prints.groupBy().min("fp").first()[0]
+        return prints.where(f"fp <> {lo}").selectExpr(f"{lo}L AS a", "fp AS b")
+
+    monkeypatch.setattr(simhash, "links", all_to_the_smallest)
+    got = {r["doc_id"]: r["component_id"] for r in similar_sets.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == components(sets, lambda a, b: similar(sets[a], sets[b]))
+
+
 def test_company_in_any_batches():
     """Against counting: visits that share their shingle with another key, or are salted, each once."""
     rng = np.random.default_rng(2)
