@@ -38,7 +38,7 @@ def _least(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2]
 
 
-def _ranks(i: np.ndarray) -> np.ndarray:
+def ranks(i: np.ndarray) -> np.ndarray:
     """The position of each in its run of equal values."""
     first = np.concatenate([[True], i[1:] != i[:-1]])[: len(i)]
     return np.arange(len(i)) - np.maximum.accumulate(np.where(first, np.arange(len(i)), 0))
@@ -154,7 +154,7 @@ class Tree:
         i, p, d = i[near], p[near], d[near]
         # a point that k others are before, by distance and smallest id, has no copy among the k nearest
         order = np.lexsort((self.ids[self.start[p]], d, i))
-        order = order[_ranks(i[order]) < k]
+        order = order[ranks(i[order]) < k]
         i, p, d = i[order], p[order], d[order]
         n = self.n[p]
         copy = np.repeat(np.arange(len(p)), n)
@@ -162,7 +162,7 @@ class Tree:
         i, d = i[copy], d[copy]
         if len(copy) > len(p):
             order = np.lexsort((ids, d, i))
-            order = order[_ranks(i[order]) < k]
+            order = order[ranks(i[order]) < k]
             i, d, ids = i[order], d[order], ids[order]
         return i, ids, d
 

@@ -85,3 +85,25 @@ def test_probes_are_exact_in_their_cells(spark, small_blocks, offsets):
 def test_probes_of_full_cells_take_no_pairs(spark, dense):
     p, df = dense
     assert most_rows(neighbors.voxel_probe_knn(df, sampling.with_voxels(df, 1.0), 1.0, 5, 27)) < 30 * len(p)
+
+
+@pytest.mark.parametrize("pixels", [1 << 20, 0])
+def test_projective_searches_are_exact_in_their_windows(spark, monkeypatch, pixels):
+    """Both ways, with copies and windows over the seam, against all pixels."""
+    monkeypatch.setattr(neighbors, "RASTER_PIXELS", pixels)
+    p = np.concatenate([RNG.normal(size=(300, 3)), np.repeat(RNG.normal(size=(20, 3)), 3, axis=0)])
+    width, height, window = 40, 20, (6, 3)
+    n = np.sqrt((p * p).sum(axis=1))
+    u = ((np.arctan2(p[:, 0] / n, p[:, 2] / n) / (2 * np.pi) + 0.5) * width).astype(int)
+    v = ((-np.arcsin(p[:, 1] / n) / np.pi + 0.5) * height).astype(int)
+    last = {(a, b): i for i, (a, b) in enumerate(zip(u, v, strict=True)) if 0 <= a < width and 0 <= b < height}
+    got = found(neighbors.projective_knn(frame(spark, p), frame(spark, p), width, height, k=3, window=window))
+    for i in range(len(p)):
+        near = [j for (a, b), j in last.items() if min(abs(a - u[i]), width - abs(a - u[i])) <= window[0] and abs(b - v[i]) <= window[1]]
+        d = {j: float(((p[i] - p[j]) ** 2) @ np.ones(3)) for j in near}
+        assert [j for j, _ in got.get(i, [])] == sorted(near, key=lambda j: (round(d[j], 12), j))[:3]
+
+
+def test_projective_searches_take_no_pairs(spark, dense):
+    p, df = dense
+    assert most_rows(neighbors.projective_knn(df, df, 512, 128, k=3)) < 10 * len(p)
