@@ -7,7 +7,7 @@ decoded in Arrow batches on the executors.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from pointloom.operators.checkpoints import cut, numbered
 from pointloom.schema import NORMAL, XYZ
 
+#: Points that are read out of a file or message at a time.
+PART_POINTS = 65536
 _OUT = "path string, point_id long, x double, y double, z double"
 
 
-def _emit(path: str, xyz: np.ndarray) -> pa.RecordBatch:
+def _emit(path: str, xyz: np.ndarray, first: int) -> pa.RecordBatch:
     n = len(xyz)
-    cols = [pa.array([path] * n, pa.string()), pa.array(np.arange(n)), *(pa.array(np.ascontiguousarray(xyz[:, i], dtype=np.float64)) for i in range(3))]
+    cols = [pa.array([path] * n, pa.string()), pa.array(np.arange(first, first + n)), *(pa.array(np.ascontiguousarray(xyz[:, i], dtype=np.float64)) for i in range(3))]
     return pa.RecordBatch.from_arrays(cols, names=["path", "point_id", *XYZ])
 
 
@@ -31,7 +33,9 @@ def _decoded(files: DataFrame, decode) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("path", "content")), strict=True):
-                yield _emit(path, decode(content))
+                xyz = decode(content)
+                for a in range(0, max(len(xyz), 1), PART_POINTS):
+                    yield _emit(path, xyz[a : a + PART_POINTS], a)
 
     return files.select("path", "content").mapInArrow(run, _OUT)
 
@@ -128,6 +132,25 @@ def read_ply(spark: SparkSession, path: str) -> DataFrame:
 # --- packed messages --------------------------------------------------------------
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Points of messages, a part of a message at a time."""
+    for batch in batches:
+        ids, steps, fields, contents = (batch.column(batch.schema.get_field_index(c)) for c in ("cloud_id", "point_step", "offsets", "data"))
+        for at in range(batch.num_rows):
+            offsets, step, data = dict(fields[at].as_py() or []), steps[at].as_py() or 0, contents[at].as_buffer()
+            if step <= 0 or data is None or any(offsets.get(c) is None for c in XYZ):
+                continue
+            n = len(data) // step
+            raw = np.frombuffer(data, np.uint8, n * step).reshape(n, step)
+            for a in range(0, n, PART_POINTS):
+                part = raw[a : a + PART_POINTS]
+                xyz = np.stack([part[:, offsets[c] : offsets[c] + 4].copy().view("<f4")[:, 0] for c in XYZ], axis=1).astype(np.float64)
+                own = np.flatnonzero(np.isfinite(xyz).all(axis=1))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([ids[at].as_py()] * len(own), pa.int64()), pa.array(own + a), *(pa.array(xyz[own, i]) for i in range(3))], names=["cloud_id", "point_id", *XYZ]
+                )
+
+
 def unpack_messages(messages: DataFrame) -> DataFrame:
     """Points of packed clouds: cloud_id, point_id, x, y, z; points with a coordinate that isn't finite are left out.
 
@@ -135,59 +158,77 @@ def unpack_messages(messages: DataFrame) -> DataFrame:
     offset) and data; fields are 32-bit little-endian floats. A message without x, y
     and z, or without data, gives no points.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                offsets, step = dict(row["offsets"] or []), row["point_step"] or 0
-                if step <= 0 or row["data"] is None or any(offsets.get(c) is None for c in XYZ):
-                    continue
-                n = len(row["data"]) // step
-                raw = np.frombuffer(row["data"], np.uint8, n * step).reshape(n, step)
-                xyz = np.stack([raw[:, offsets[c] : offsets[c] + 4].copy().view("<f4")[:, 0] for c in XYZ], axis=1).astype(np.float64)
-                ids = np.flatnonzero(np.isfinite(xyz).all(axis=1))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["cloud_id"]] * len(ids), pa.int64()), pa.array(ids), *(pa.array(xyz[ids, i]) for i in range(3))], names=["cloud_id", "point_id", *XYZ]
-                )
-
-    return messages.select("cloud_id", "point_step", "offsets", "data").mapInArrow(run, "cloud_id long, point_id long, x double, y double, z double")
+    return messages.select("cloud_id", "point_step", "offsets", "data").mapInArrow(_unpacked, "cloud_id long, point_id long, x double, y double, z double")
 
 
 def pack_messages(points: DataFrame, with_normals: bool = False) -> DataFrame:
     """The reverse: cloud_id, width, point_step, offsets, data, with points in the order of their ids."""
     names = [*XYZ, *(NORMAL if with_normals else ())]
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.sort_by("point_id")
-        rows = np.stack([table.column(n).to_numpy().astype("<f4") for n in names], axis=1)
-        step = 4 * len(names) if len(rows) else 0
-        offsets = [[(n, 4 * i) for i, n in enumerate(names)]]
-        return pa.table(
+    def message(key: int | None, data: pa.Buffer) -> pa.RecordBatch:
+        step = 4 * len(names)
+        return pa.RecordBatch.from_pydict(
             {
-                "cloud_id": pa.array([key[0].as_py()], pa.int64()),
-                "width": pa.array([len(rows)], pa.int64()),
+                "cloud_id": pa.array([key], pa.int64()),
+                "width": pa.array([len(data) // step], pa.int64()),
                 "point_step": pa.array([step], pa.int32()),
-                "offsets": pa.array(offsets, pa.map_(pa.string(), pa.int32())),
-                "data": pa.array([np.ascontiguousarray(rows).tobytes()], pa.binary()),
+                "offsets": pa.array([[(n, 4 * i) for i, n in enumerate(names)]], pa.map_(pa.string(), pa.int32())),
+                "data": _one(data),
             }
         )
 
-    return points.select("cloud_id", "point_id", *names).groupBy("cloud_id").applyInArrow(run, "cloud_id long, width long, point_step int, offsets map<string,int>, data binary")
+    return _packed(points, "cloud_id", names, lambda rows: rows, message, "cloud_id long, width long, point_step int, offsets map<string,int>, data binary")
+
+
+def _one(data: pa.Buffer) -> pa.Array:
+    """A column with one binary value, without a copy of it."""
+    return pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, len(data)], np.int32)), data])
+
+
+def _packed(points: DataFrame, by: str, names: list[str], encode: Callable[[np.ndarray], np.ndarray], message: Callable[[int | None, pa.Buffer], pa.RecordBatch], schema: str) -> DataFrame:
+    """A row for each value of ``by``, of its points as 32-bit floats in the order of their ids.
+
+    Points come as a sorted stream, so that a task holds the bytes of one message, not its rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, out = None, None
+        for batch in batches:
+            keys = batch.column(0)
+            own = np.stack([keys.is_null().to_numpy(zero_copy_only=False), keys.fill_null(0).to_numpy(zero_copy_only=False)], axis=1)
+            rows = np.stack([batch.column(i + 1).to_numpy(zero_copy_only=False).astype("<f4") for i in range(len(names))], axis=1)
+            ends = np.append(np.flatnonzero((own[1:] != own[:-1]).any(axis=1)) + 1, len(own)) if len(own) else []
+            a = 0
+            for b in ends:
+                key = keys[a].as_py()
+                if out is None or key != last:
+                    if out is not None:
+                        yield message(last, out.getvalue())
+                    last, out = key, pa.BufferOutputStream()
+                out.write(np.ascontiguousarray(encode(rows[a:b]), "<f4").tobytes())
+                a = b
+        if out is not None:
+            yield message(last, out.getvalue())
+
+    ordered = points.select(by, "point_id", *names).repartition(by).sortWithinPartitions(F.col(by), F.col("point_id").asc_nulls_last())
+    return ordered.select(by, *names).mapInArrow(run, schema)
 
 
 def encode_float4(xyz: np.ndarray) -> bytes:
-    return np.concatenate([xyz, np.ones((len(xyz), 1))], axis=1).astype("<f4").tobytes()
+    return _float4(xyz).tobytes()
+
+
+def _float4(xyz: np.ndarray) -> np.ndarray:
+    return np.concatenate([xyz, np.ones((len(xyz), 1))], axis=1).astype("<f4")
 
 
 def float4_files(points: DataFrame) -> DataFrame:
     """One row for each frame: frame_id and the content of its file, points in the order of their ids."""
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.sort_by("point_id")
-        xyz = np.stack([table.column(c).to_numpy() for c in XYZ], axis=1)
-        return pa.table({"frame_id": pa.array([key[0].as_py()], pa.int64()), "content": pa.array([encode_float4(xyz)], pa.binary())})
+    def file(key: int | None, data: pa.Buffer) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"frame_id": pa.array([key], pa.int64()), "content": _one(data)})
 
-    return points.select("frame_id", "point_id", *XYZ).groupBy("frame_id").applyInArrow(run, "frame_id long, content binary")
+    return _packed(points, "frame_id", list(XYZ), _float4, file, "frame_id long, content binary")
 
 
 def write_float4(points: DataFrame, folder: str) -> DataFrame:
